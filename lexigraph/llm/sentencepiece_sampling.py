@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigraph.llm.textops import U64, Lookup, RollingHash, list_array, mix, ragged
+from lexigraph.llm.textops import U64, Lookup, RollingHash, list_array, mix, ragged, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THETA, SEED = 2.0, 0
 META = 0x2581
 _LITERAL_META = 0x110000
-SLICE_CHARS = 3 << 20
+SLICE_BYTES = 1 << 20
 #: The least probability of a byte-spelled character, so that products of a few stay above zero.
 LEAST = 1e-15
 
@@ -264,25 +264,16 @@ def encode(docs: DataFrame, model: str = MODEL, theta: float = THETA, seed: int
         pieces = load(blob.value, theta)
         for batch in batches:
             keys = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
-            texts = batch.column(2).fill_null("").to_pylist()
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= SLICE_CHARS):
-                    size += len(texts[hi])
-                    hi += 1
-                part = texts[lo:hi]
+            for lo, hi, raw in slices(batch.column(2), SLICE_BYTES):
+                part = batch.column(2).slice(lo, hi - lo).fill_null("").to_pylist()
                 ids, count = sample(pieces, part, keys[lo:hi], seed)
                 data, sizes = pieces.decode(ids, count)
-                original = [t.encode() for t in part]
-                want = np.fromiter(map(len, original), dtype=np.int64, count=hi - lo)
+                want = np.diff(raw.offsets)
                 same = sizes == want
-                if not (same.all() and data.tobytes() == b"".join(original)):
-                    at = np.cumsum(sizes)
-                    whole = data.tobytes()
-                    same = np.array([whole[e - s : e] == o for e, s, o in zip(at.tolist(), sizes.tolist(), original)])
+                if not (same.all() and np.array_equal(data, raw.data)):
+                    ends = np.cumsum(sizes)
+                    same = np.array([np.array_equal(data[e - s : e], raw.data[a:b]) for e, s, a, b in zip(ends, sizes, raw.offsets[:-1], raw.offsets[1:])])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), list_array(pa.array(ids), count), pa.array(count), pa.array(want), pa.array(same)], names=["doc_id", "ids", "n_pieces", "n_bytes", "lossless"])
-                lo = hi
 
     return docs.select(F.col(id_col), F.coalesce(F.xxhash64(id_col), F.lit(0)).alias("row_key"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_pieces long, n_bytes long, lossless boolean")
 
