@@ -2,11 +2,11 @@
 
 A unit is a word without the signs inside it, or the word that a run of three
 or more single letters spells, so inserted signs and spaces are gone before
-anything is compared.  The kernel sums, over all subsequences of ORDER
-characters that two strings share, DECAY to the power of the two spans: letters
-inserted into an insult widen the spans and cost something but leave most of
-the value.  It isn't divided by the length of the unit, so an insult inside a
-longer word counts in full.
+anything is compared.  The kernel sums, over all subsequences of
+ORDERS characters that two strings share, DECAY to the power of the characters
+that their two spans skip: letters inserted into an insult cost something but
+leave most of the value.  It is normalised, and a long word is seen through
+overlapping windows, so an insult inside it still counts.
 
 A sentence scores as its worst unit and a document as its worst sentence.  The
 machine learns from labelled sentences accordingly: each toxic document's
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lexigraph.llm.langid import svm
 from lexigraph.llm.textops import _ALNUM, _LOWER, _WS, U64, Lookup, RollingHash, Texts, ragged, slices, with_ids, written
 
-ORDER, DECAY, LANDMARKS, WINDOW = 3, 0.7, 64, 24
+ORDERS, DECAY, LANDMARKS, WINDOW = (3, 4), 0.75, 64, 16
 #: Share of a landmark's distinct letters that a unit must have; the kernel is 0 below it.
 SHARED = 0.75
 #: Labelled documents of each class that are used for training at most.
@@ -103,7 +103,7 @@ def pad_strings(strings: list[bytes]) -> np.ndarray:
 def subsequence_kernel(s: np.ndarray, t: np.ndarray, chunk: int = 4096) -> np.ndarray:
     """The kernel of each row of s with the same row of t; s and t are padded with 0."""
     out = np.zeros(len(s), dtype=np.float32)
-    decay, square = np.float32(DECAY), np.float32(DECAY * DECAY)
+    decay = np.float32(DECAY)
     s_size, t_size = (s != 0).sum(axis=1), (t != 0).sum(axis=1)
     order = np.lexsort((s_size, t_size))
     for lo in range(0, len(order), chunk):
@@ -112,19 +112,23 @@ def subsequence_kernel(s: np.ndarray, t: np.ndarray, chunk: int = 4096) -> np.nd
         a, b = np.ascontiguousarray(s[rows, :ls].T), np.ascontiguousarray(t[rows, :lt].T)
         n = len(rows)
         # prefix[k][j]: the value of common subsequences of k characters with their tails up to (i, j)
-        prefix = np.zeros((ORDER, lt + 1, n), dtype=np.float32)
+        top = max(ORDERS)
+        prefix = np.zeros((top, lt + 1, n), dtype=np.float32)
         prefix[0] = 1
         total = np.zeros(n, dtype=np.float32)
         for i in range(ls):
             same = (b == a[i]) & (a[i] != 0)
-            total += (same * prefix[ORDER - 1, :-1]).sum(axis=0)
-            for k in range(ORDER - 1, 0, -1):
-                gain = same * prefix[k - 1, :-1] * square
+            for k in range(top, 0, -1):
+                gain = same * prefix[k - 1, :-1]
+                if k in ORDERS:
+                    total += gain.sum(axis=0)
+                if k == top:
+                    continue
                 for j in range(1, lt):
                     gain[j] += decay * gain[j - 1]
                 prefix[k] *= decay
                 prefix[k, 1:] += gain
-        out[rows] = total * square
+        out[rows] = total
     return out
 
 
@@ -134,7 +138,7 @@ def _masks(rows: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Kernel:
-    """Kernel values against landmarks, each divided by the landmark's own."""
+    """Normalised kernel values against landmarks."""
 
     landmarks: np.ndarray
 
@@ -152,7 +156,9 @@ class Kernel:
             unit.append(u)
             mark.append(np.full(len(u), m))
         u, m = np.concatenate([*unit, np.zeros(0, np.int64)]), np.concatenate([*mark, np.zeros(0, np.int64)])
-        return u, m, subsequence_kernel(rows[u], self.landmarks[m]) / self.own[m]
+        some, of = np.unique(u, return_inverse=True)
+        own = np.maximum(subsequence_kernel(rows[some], rows[some]), 1e-9)[of]
+        return u, m, subsequence_kernel(rows[u], self.landmarks[m]) / np.sqrt(own * self.own[m])
 
     def matrix(self, rows: np.ndarray) -> np.ndarray:
         out = np.zeros((len(rows), len(self.landmarks)), dtype=np.float32)
@@ -184,7 +190,7 @@ def _landmarks(words: list[bytes], evidence: np.ndarray, n: int) -> np.ndarray:
         if taken:
             near = subsequence_kernel(np.repeat(rows[k][None], len(taken), axis=0), rows[taken])
             own = subsequence_kernel(rows[[k, *taken]], rows[[k, *taken]])
-            if (near > 0.8 * np.sqrt(own[0] * own[1:])).any():
+            if (near > 0.6 * np.sqrt(own[0] * own[1:])).any():
                 continue
         taken.append(k)
         if len(taken) == n:
@@ -192,6 +198,15 @@ def _landmarks(words: list[bytes], evidence: np.ndarray, n: int) -> np.ndarray:
     return rows[taken]
 
 
+def stuffed(words: np.ndarray, letters: bytes = b"xqa") -> np.ndarray:
+    """Each word with one letter put in, at each inner place."""
+    out = []
+    for row in words:
+        word = row[row != 0].tobytes()
+        out += [word[:k] + letters[c : c + 1] + word[k:] for k in range(1, len(word)) for c in range(len(letters))]
+    return pad_strings(out)
+
+
 def train_on(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
     """A model from documents and whether each is toxic; without both kinds, one that finds nothing toxic."""
     toxic = np.asarray(toxic, dtype=bool)
@@ -209,7 +224,7 @@ def train_on(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, ro
     rate = (hits + 0.1) / (toxic.sum() + 0.2), (misses + 0.1) / ((~toxic).sum() + 0.2)
     odds = np.log(rate[0] / rate[1])
     size = (rows != 0).sum(axis=1)
-    evidence = np.where((hits >= 3) & (size >= ORDER + 1) & (odds > 2), hits * odds, 0)
+    evidence = np.where((hits >= 3) & (size >= max(ORDERS)) & (odds > 2), hits * odds, 0)
     if not (evidence > 0).any():
         return nothing
     strong = np.flatnonzero(evidence > 0)
@@ -222,6 +237,7 @@ def train_on(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, ro
     score = odds
     sentence = units.text.astype(np.int64) << 32 | units.sentence
     features = kernel.matrix(rows)
+    spread = kernel.matrix(stuffed(marks))  # landmarks with a letter put in count as toxic too
     for _ in range(rounds):
         # the worst unit of each toxic document, and of each clean sentence
         unit_score = score[which]
@@ -234,8 +250,8 @@ def train_on(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, ro
         witness = np.setdiff1d(witness, clean)
         if not len(witness) or not len(clean):
             return nothing
-        chosen = np.concatenate([witness, clean])
-        weight, offset = svm((features[chosen] @ root).astype(np.float32), np.where(np.arange(len(chosen)) < len(witness), 1.0, -1.0), rounds=300)
+        x = np.concatenate([features[witness], spread, features[clean]]) @ root
+        weight, offset = svm(x.astype(np.float32), np.where(np.arange(len(x)) < len(x) - len(clean), 1.0, -1.0), rounds=300)
         folded = (root @ weight).astype(np.float64)
         score = features @ folded + offset
     # the threshold halfway between the classes where it errs least by document
