@@ -5,10 +5,12 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -27,3 +29,42 @@ def ship(spark: SparkSession) -> None:
     Path(path).write_bytes(buffer.getvalue())
     spark.sparkContext.addPyFile(path)  # the driver serves this file to the executors
     _shipped.add(app)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """df, written once as Parquet under spark.checkpoint.dir and read again; a temporary folder where that is unset, as in tests."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + os.path.join(tempfile.gettempdir(), "lexigraph-checkpoints")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Estimated bytes of a side that joins broadcast at most; larger ones shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if the optimizer's size estimate of it is below the limit; as it is otherwise."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(size)) <= limit else df
+
+
+def dense_ids(df: DataFrame, column: str, order: list[str], bucket: Column, start: int = 0) -> DataFrame:
+    """df with a gapless id from start on, in the order of the columns.
+
+    bucket is a non-decreasing function of that order.  Only one count for each
+    bucket goes to the driver; rows are numbered within buckets, so no window
+    spans the table.  df is read twice and must be materialized.
+    """
+    numbered = df.withColumn("_bucket", bucket)
+    offsets, total = [], start
+    for b, n in sorted(map(tuple, numbered.groupBy("_bucket").count().collect())):
+        offsets.append((b, total))
+        total += n
+    table = df.sparkSession.createDataFrame(offsets, "_bucket long, _offset long")
+    row = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    return numbered.join(F.broadcast(table), "_bucket").withColumn(column, F.col("_offset") + row - 1).drop("_bucket", "_offset")
