@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigraph.llm.simhash import one_row_per_id
-from lexigraph.llm.textops import U64, RollingHash, binaries, buckets, key_buckets, longs, mix, slices, split_by, whitespace_words, with_ids, written
+from lexigraph.llm.textops import U64, RollingHash, binaries, buckets, key_buckets, longs, mix, slices, split_by, unused, whitespace_words, with_ids, written
 
 #: Perfect difference sets: every residue is a difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
@@ -240,11 +240,13 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
                     out.append(texts.data[base:end][keep].tobytes().decode() if keep[starts - base].any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["cut_id", "cut_text"])
 
+    # names that docs may have too are told apart by longer ones
+    key, new = (unused(c, docs.columns) for c in ("cut_id", "cut_text"))
     source = with_ids(docs.select(F.col(id_col).alias("cut_id"), F.col(text_col).alias("cut_source")).where("cut_id is not null"), ids.withColumnRenamed(id_col, "cut_id"), "cut_id", "left_semi")
     rest = with_ids(docs, ids, id_col, "left_anti")
     texts = source.join(cut.select(F.col(id_col).cast(kind).alias("cut_id"), "cut_spans"), "cut_id").select("cut_id", "cut_spans", "cut_source").mapInArrow(run, f"cut_id {kind}, cut_text string")
-    changed = with_ids(docs, ids, id_col, "left_semi").join(texts.where("cut_text is not null"), F.col(id_col) == F.col("cut_id"))
-    changed = changed.withColumn(text_col, F.col("cut_text"))
+    texts = texts.where("cut_text is not null").select(F.col("cut_id").alias(key), F.col("cut_text").alias(new))
+    changed = with_ids(docs, ids, id_col, "left_semi").join(texts, F.col(id_col) == F.col(key)).withColumn(text_col, F.col(new))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return rest.unionByName(changed.select(*docs.columns))

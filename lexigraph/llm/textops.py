@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-SLICE_BYTES = 1 << 21
+#: A little below a power of two, which is how far tables of powers are filled.
+SLICE_BYTES = (1 << 21) - 1024
 
 _WS = np.zeros(256, dtype=bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
@@ -241,3 +242,10 @@ def split_by(bucket: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list[
     cuts = np.flatnonzero(np.diff(b)) + 1
     heads = b[np.concatenate([[0], cuts])] if len(b) else b
     return heads.tolist(), [np.split(c[order], cuts) if len(b) else [] for c in columns]
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, made longer until none of the columns has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name

@@ -32,7 +32,7 @@ ORDERS, DECAY, LANDMARKS, WINDOW = (3, 4), 0.75, 64, 16
 #: Share of a landmark's distinct letters that a unit must have; the kernel is 0 below it.
 SHARED = 0.75
 #: Labelled documents of each class that are used for training at most.
-TRAIN_TOXIC, TRAIN_CLEAN = 1500, 3000
+TRAIN_TOXIC, TRAIN_CLEAN = 1000, 2000
 CACHE = 2_000_000
 
 _LETTER = np.zeros(256, dtype=np.uint32)
@@ -147,18 +147,20 @@ class Kernel:
         self.least = np.ceil(SHARED * np.bitwise_count(self.mask)).astype(np.uint8)
         self.own = np.maximum(subsequence_kernel(self.landmarks, self.landmarks), 1e-9)
 
-    def pairs(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(self, rows: np.ndarray, chunk: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(unit, landmark, value) where the value may not be 0."""
-        mask = _masks(rows)
-        unit, mark = [], []
-        for m in range(len(self.landmarks)):
-            u = np.flatnonzero(np.bitwise_count(mask & self.mask[m]) >= self.least[m])
-            unit.append(u)
-            mark.append(np.full(len(u), m))
-        u, m = np.concatenate([*unit, np.zeros(0, np.int64)]), np.concatenate([*mark, np.zeros(0, np.int64)])
-        some, of = np.unique(u, return_inverse=True)
-        own = np.maximum(subsequence_kernel(rows[some], rows[some]), 1e-9)[of]
-        return u, m, subsequence_kernel(rows[u], self.landmarks[m]) / np.sqrt(own * self.own[m])
+        parts = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))]
+        for lo in range(0, len(rows), chunk):
+            some = rows[lo : lo + chunk]
+            mask = _masks(some)
+            hits = [np.flatnonzero(np.bitwise_count(mask & self.mask[m]) >= self.least[m]) for m in range(len(self.landmarks))]
+            u = np.concatenate([*hits, np.zeros(0, np.int64)])
+            m = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+            near, of = np.unique(u, return_inverse=True)
+            own = np.maximum(subsequence_kernel(some[near], some[near]), 1e-9)[of]
+            value = subsequence_kernel(some[u], self.landmarks[m]) / np.sqrt(own * self.own[m])
+            parts.append(((u + lo).astype(np.int32), m.astype(np.int32), value.astype(np.float32)))
+        return tuple(np.concatenate(x) for x in zip(*parts))
 
     def matrix(self, rows: np.ndarray) -> np.ndarray:
         out = np.zeros((len(rows), len(self.landmarks)), dtype=np.float32)
@@ -213,12 +215,23 @@ def train_on(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, ro
     nothing = Model(np.zeros((0, WINDOW), dtype=np.uint8), np.zeros(0), -1.0)
     if toxic.all() or not toxic.any():
         return nothing
-    (_, _, part), *_ = list(slices(pa.array(texts, pa.string()), 1 << 62))
-    units = Units(part)
-    _, seen, which = units.distinct()
-    rows = padded(units.letters, units.start[seen], units.end[seen])
+    # slice by slice, so that temporary arrays stay small: distinct units, and where each occurs
+    found: list[tuple[np.ndarray, ...]] = []
+    for lo, _, part in slices(pa.array(texts, pa.string()), 1 << 19):
+        units = Units(part)
+        hashes, seen, place = units.distinct()
+        where = np.unique((units.text + lo).astype(np.int64) << 32 | units.sentence, return_inverse=True)
+        pairs = np.unique(where[1].astype(np.int64) * len(hashes) + place) if len(hashes) else np.zeros(0, dtype=np.int64)
+        found.append((hashes, padded(units.letters, units.start[seen], units.end[seen]), where[0][pairs // max(1, len(hashes))], pairs % max(1, len(hashes))))
+    _, first, place = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
+    rows = np.concatenate([f[1] for f in found])[first]
+    sentence = np.concatenate([f[2] for f in found])
+    offsets = np.cumsum([0, *(len(f[0]) for f in found)])
+    which = np.concatenate([place[o : o + len(f[0])][f[3]] for o, f in zip(offsets, found)])
+    del found
+    text = sentence >> 32
     # document frequency of each distinct unit among toxic and clean documents
-    in_doc = np.unique(which.astype(np.int64) * len(texts) + units.text)
+    in_doc = np.unique(which.astype(np.int64) * len(texts) + text)
     unit, doc = in_doc // len(texts), in_doc % len(texts)
     hits, misses = np.bincount(unit[toxic[doc]], minlength=len(rows)), np.bincount(unit[~toxic[doc]], minlength=len(rows))
     rate = (hits + 0.1) / (toxic.sum() + 0.2), (misses + 0.1) / ((~toxic).sum() + 0.2)
@@ -235,28 +248,34 @@ def train_on(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, ro
     value, vector = np.linalg.eigh((w + w.T) / 2 + 1e-3 * np.eye(len(marks)))
     root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
     score = odds
-    sentence = units.text.astype(np.int64) << 32 | units.sentence
-    features = kernel.matrix(rows)
+    # most units are like no landmark: they share one row of zeros, the last
+    unit, mark, worth = kernel.pairs(rows)
+    near, at = np.unique(unit, return_inverse=True)
+    features = np.zeros((len(near) + 1, len(marks)), dtype=np.float32)
+    features[at, mark] = worth
+    row_of = np.full(len(rows), len(near))
+    row_of[near] = np.arange(len(near))
     spread = kernel.matrix(stuffed(marks))  # landmarks with a letter put in count as toxic too
+    bad = toxic[text]
     for _ in range(rounds):
         # the worst unit of each toxic document, and of each clean sentence
         unit_score = score[which]
-        order = np.lexsort((unit_score, units.text))
-        last = order[np.flatnonzero(np.append(np.diff(units.text[order]) > 0, True))]
-        witness = np.unique(which[last[toxic[units.text[last]]]])
+        order = np.lexsort((unit_score, text))
+        last = order[np.append(text[order][1:] != text[order][:-1], True)]
+        witness = np.unique(which[last[bad[last]]])
         order = np.lexsort((unit_score, sentence))
-        last = order[np.flatnonzero(np.append(np.diff(sentence[order]) > 0, True))]
-        clean = np.unique(which[last[~toxic[units.text[last]]]])
+        last = order[np.append(sentence[order][1:] != sentence[order][:-1], True)]
+        clean = np.unique(which[last[~bad[last]]])
         witness = np.setdiff1d(witness, clean)
         if not len(witness) or not len(clean):
             return nothing
-        x = np.concatenate([features[witness], spread, features[clean]]) @ root
+        x = np.concatenate([features[row_of[witness]], spread, features[row_of[clean]]]) @ root
         weight, offset = svm(x.astype(np.float32), np.where(np.arange(len(x)) < len(x) - len(clean), 1.0, -1.0), rounds=300)
         folded = (root @ weight).astype(np.float64)
-        score = features @ folded + offset
+        score = (features @ folded)[row_of] + offset
     # the threshold halfway between the classes where it errs least by document
     worst = np.full(len(texts), -np.inf)
-    np.maximum.at(worst, units.text, score[which])
+    np.maximum.at(worst, text, score[which])
     order = np.argsort(worst, kind="stable")
     ok = np.cumsum(~toxic[order]) / (~toxic).sum() - np.cumsum(toxic[order]) / toxic.sum()
     best = int(np.argmax(ok))
