@@ -2,8 +2,9 @@
 
 A unit is a word without the signs inside it, or the word that a run of three
 or more single letters spells, so inserted signs and spaces are gone before
-anything is compared.  The kernel sums, over all subsequences of
-ORDERS characters that two strings share, DECAY to the power of the characters
+anything is compared; a mark stands before its first letter and one behind its
+last, so that a clean word that contains an insult is not one.  The kernel
+sums, over all subsequences of ORDERS characters that two strings share, DECAY to the power of the characters
 that their two spans skip: letters inserted into an insult cost something but
 leave most of the value.  It is normalised, and a long word is seen through
 overlapping windows, so an insult inside it still counts.
@@ -11,8 +12,8 @@ overlapping windows, so an insult inside it still counts.
 A sentence scores as its worst unit and a document as its worst sentence.  The
 machine learns from labelled sentences accordingly: each toxic document's
 sentences vote through the unit that is the most toxic so far, clean ones
-through theirs.  Landmarks are units that set toxic documents apart; in the
-space that they span (Nyström) the SVM is linear, and its decision folds into
+through theirs.  Landmarks are units that set toxic documents apart, and the
+clean ones that come closest to them; in the space that they span (Nyström) the SVM is linear, and its decision folds into
 one weight a landmark.
 """
 
@@ -22,13 +23,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigraph.llm.langid import svm
 from lexigraph.llm.textops import _ALNUM, _LOWER, _WS, U64, Lookup, RollingHash, Texts, ragged, slices, with_ids, written
 
-ORDERS, DECAY, LANDMARKS, WINDOW = (3, 4), 0.75, 64, 16
+ORDERS, DECAY, LANDMARKS, REVERSE, WINDOW = (3, 4), 0.9, 128, 64, 16
+#: The normalised kernel is raised to this power (a kernel again), so that several faint likenesses don't add up to an insult.
+POWER = 3
+#: Clean units that a round of training takes at most, those nearest to the toxic side.
+HARD = 500
+#: An insult is this many times as frequent among toxic documents as among clean ones, at least.
+LIFT = 8
+#: Marks of a word's begin and end, and the bytes of a unit with both.
+_BEGIN, _END, WIDTH = 1, 2, WINDOW + 2
 #: Share of a landmark's distinct letters that a unit must have; the kernel is 0 below it.
 SHARED = 0.75
 #: Labelled documents of each class that are used for training at most.
@@ -70,6 +79,8 @@ class Units:
         last = run + size[size >= 3] - 1
         self.start, self.end = np.concatenate([start, start[run]]), np.concatenate([end, end[last]])
         self.text, self.sentence = np.concatenate([text, text[run]]), np.concatenate([sentence, sentence[run]])
+        self.words = len(start)
+        self.opens, self.closes = np.ones(len(self.start), dtype=bool), np.ones(len(self.start), dtype=bool)
         # a long unit is seen through overlapping windows
         size = self.end - self.start
         long = np.flatnonzero(size > WINDOW)
@@ -80,24 +91,30 @@ class Units:
             finish = np.minimum(begin + WINDOW, self.end[long][row])
             self.end = self.end.copy()
             self.end[long] = self.start[long] + WINDOW
+            self.closes[long] = False
+            self.opens, self.closes = np.concatenate([self.opens, np.zeros(len(row), dtype=bool)]), np.concatenate([self.closes, place == many[row] - 1])
             self.start, self.end = np.concatenate([self.start, begin]), np.concatenate([self.end, finish])
             self.text, self.sentence = np.concatenate([self.text, self.text[long][row]]), np.concatenate([self.sentence, self.sentence[long][row]])
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash of each distinct unit, an occurrence of it, each unit's place among them)."""
-        return np.unique(RollingHash(self.letters)(self.start, self.end), return_index=True, return_inverse=True)
-
-
-def padded(letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Rows of the units' bytes, WINDOW wide; 0 behind the end."""
-    out = np.zeros((len(start), WINDOW), dtype=np.uint8)
-    row, place = ragged(end - start)
-    out[row, place] = letters[start[row] + place]
-    return out
+        h = RollingHash(self.letters)(self.start, self.end) + self.opens.astype(U64) + U64(2) * self.closes.astype(U64)
+        return np.unique(h, return_index=True, return_inverse=True)
+
+    def padded(self, which: np.ndarray) -> np.ndarray:
+        """Rows of these units' bytes with their marks, WIDTH wide; 0 behind the end."""
+        out = np.zeros((len(which), WIDTH), dtype=np.uint8)
+        start, size, opens = self.start[which], (self.end - self.start)[which], self.opens[which].astype(np.int64)
+        out[opens > 0, 0] = _BEGIN
+        row, place = ragged(size)
+        out[row, place + opens[row]] = self.letters[start[row] + place]
+        closes = np.flatnonzero(self.closes[which])
+        out[closes, (opens + size)[closes]] = _END
+        return out
 
 
 def pad_strings(strings: list[bytes]) -> np.ndarray:
-    return np.array([np.frombuffer(s[:WINDOW].ljust(WINDOW, b"\0"), dtype=np.uint8) for s in strings], dtype=np.uint8).reshape(-1, WINDOW)
+    return np.array([np.frombuffer(s[:WIDTH].ljust(WIDTH, b"\0"), dtype=np.uint8) for s in strings], dtype=np.uint8).reshape(-1, WIDTH)
 
 
 def subsequence_kernel(s: np.ndarray, t: np.ndarray, chunk: int = 4096) -> np.ndarray:
@@ -158,7 +175,7 @@ class Kernel:
             m = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
             near, of = np.unique(u, return_inverse=True)
             own = np.maximum(subsequence_kernel(some[near], some[near]), 1e-9)[of]
-            value = subsequence_kernel(some[u], self.landmarks[m]) / np.sqrt(own * self.own[m])
+            value = (subsequence_kernel(some[u], self.landmarks[m]) / np.sqrt(own * self.own[m])) ** POWER
             parts.append(((u + lo).astype(np.int32), m.astype(np.int32), value.astype(np.float32)))
         return tuple(np.concatenate(x) for x in zip(*parts))
 
@@ -201,18 +218,19 @@ def _landmarks(words: list[bytes], evidence: np.ndarray, n: int) -> np.ndarray:
 
 
 def stuffed(words: np.ndarray, letters: bytes = b"xqa") -> np.ndarray:
-    """Each word with one letter put in, at each inner place."""
+    """Each word with one letter put in, or one doubled, at each inner place."""
     out = []
     for row in words:
         word = row[row != 0].tobytes()
-        out += [word[:k] + letters[c : c + 1] + word[k:] for k in range(1, len(word)) for c in range(len(letters))]
+        inner = range(2 if word[0] == _BEGIN else 1, len(word) - (word[-1] == _END))
+        out += [word[:k] + letter + word[k:] for k in inner for letter in (*(letters[c : c + 1] for c in range(len(letters))), word[k - 1 : k])]
     return pad_strings(out)
 
 
-def train_on(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
+def train_on(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, reverse: int = REVERSE, rounds: int = 4) -> Model:
     """A model from documents and whether each is toxic; without both kinds, one that finds nothing toxic."""
     toxic = np.asarray(toxic, dtype=bool)
-    nothing = Model(np.zeros((0, WINDOW), dtype=np.uint8), np.zeros(0), -1.0)
+    nothing = Model(np.zeros((0, WIDTH), dtype=np.uint8), np.zeros(0), -1.0)
     if toxic.all() or not toxic.any():
         return nothing
     # slice by slice, so that temporary arrays stay small: distinct units, and where each occurs
@@ -222,73 +240,93 @@ def train_on(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, ro
         hashes, seen, place = units.distinct()
         where = np.unique((units.text + lo).astype(np.int64) << 32 | units.sentence, return_inverse=True)
         pairs = np.unique(where[1].astype(np.int64) * len(hashes) + place) if len(hashes) else np.zeros(0, dtype=np.int64)
-        found.append((hashes, padded(units.letters, units.start[seen], units.end[seen]), where[0][pairs // max(1, len(hashes))], pairs % max(1, len(hashes))))
+        # the word in front tells occurrences in copies of one text from independent ones
+        before = np.zeros(len(units.start), dtype=U64)
+        before[1 : units.words] = np.where(units.text[1 : units.words] == units.text[: units.words - 1], hashes[place[: units.words - 1]], U64(0)) if units.words else U64(0)
+        bad = toxic[units.text + lo]
+        contexts = np.unique(np.stack([place[bad].astype(U64), before[bad]]), axis=1)
+        found.append((hashes, units.padded(seen), where[0][pairs // max(1, len(hashes))], pairs % max(1, len(hashes)), contexts))
     _, first, place = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
     rows = np.concatenate([f[1] for f in found])[first]
     sentence = np.concatenate([f[2] for f in found])
     offsets = np.cumsum([0, *(len(f[0]) for f in found)])
     which = np.concatenate([place[o : o + len(f[0])][f[3]] for o, f in zip(offsets, found)])
+    contexts = np.unique(np.concatenate([np.stack([place[o : o + len(f[0])][f[4][0].astype(np.int64)].astype(U64), f[4][1]]) for o, f in zip(offsets, found)], axis=1), axis=1)[0]
+    independent = np.bincount(contexts.astype(np.int64), minlength=len(rows))
     del found
     text = sentence >> 32
     # document frequency of each distinct unit among toxic and clean documents
     in_doc = np.unique(which.astype(np.int64) * len(texts) + text)
     unit, doc = in_doc // len(texts), in_doc % len(texts)
     hits, misses = np.bincount(unit[toxic[doc]], minlength=len(rows)), np.bincount(unit[~toxic[doc]], minlength=len(rows))
-    rate = (hits + 0.1) / (toxic.sum() + 0.2), (misses + 0.1) / ((~toxic).sum() + 0.2)
-    odds = np.log(rate[0] / rate[1])
+    # Chernoff's bound: the log of how unlikely so many of a unit's documents are toxic by chance; it must outweigh the number of units
+    hits = np.minimum(hits, independent)
+    share, p = hits / np.maximum(hits + misses, 1), toxic.mean()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        odds = (hits + misses) * (np.nan_to_num(share * np.log(share / p)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - p))))
+    odds = np.where(share > p, odds, -odds)
     size = (rows != 0).sum(axis=1)
-    evidence = np.where((hits >= 3) & (size >= max(ORDERS)) & (odds > 2), hits * odds, 0)
+    letters = size - (rows == _BEGIN).sum(axis=1) - (rows == _END).sum(axis=1)
+    evidence = np.where((letters >= max(ORDERS)) & (hits * (~toxic).sum() > LIFT * misses * toxic.sum()) & (odds > np.log(len(rows))), odds, 0)
     if not (evidence > 0).any():
         return nothing
     strong = np.flatnonzero(evidence > 0)
     marks = _landmarks([rows[k][: size[k]].tobytes() for k in strong], evidence[strong], landmarks)
-    kernel = Kernel(marks)
-    # Nyström: the map k(., landmarks) W^(-1/2), W the landmarks' kernel
-    w = subsequence_kernel(np.repeat(marks, len(marks), axis=0), np.tile(marks, (len(marks), 1))).reshape(len(marks), -1) / np.sqrt(np.outer(kernel.own, kernel.own))
-    value, vector = np.linalg.eigh((w + w.T) / 2 + 1e-3 * np.eye(len(marks)))
-    root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    score = odds
-    # most units are like no landmark: they share one row of zeros, the last
-    unit, mark, worth = kernel.pairs(rows)
-    near, at = np.unique(unit, return_inverse=True)
-    features = np.zeros((len(near) + 1, len(marks)), dtype=np.float32)
-    features[at, mark] = worth
-    row_of = np.full(len(rows), len(near))
-    row_of[near] = np.arange(len(near))
-    spread = kernel.matrix(stuffed(marks))  # landmarks with a letter put in count as toxic too
-    bad = toxic[text]
-    for _ in range(rounds):
+    spread = stuffed(marks)  # landmarks with a letter put in count as toxic too
+    bad, score = toxic[text], odds
+    for nth in range(rounds):
         # the worst unit of each toxic document, and of each clean sentence
         unit_score = score[which]
         order = np.lexsort((unit_score, text))
         last = order[np.append(text[order][1:] != text[order][:-1], True)]
         witness = np.unique(which[last[bad[last]]])
+        witness = witness[evidence[witness] > 0]  # a document may owe its label to none of its words
         order = np.lexsort((unit_score, sentence))
         last = order[np.append(sentence[order][1:] != sentence[order][:-1], True)]
         clean = np.unique(which[last[~bad[last]]])
-        witness = np.setdiff1d(witness, clean)
+        clean = clean[evidence[clean] == 0]
+        clean = clean[np.argsort(-score[clean], kind="stable")[:HARD]]  # easy ones would outweigh the few that matter
         if not len(witness) or not len(clean):
             return nothing
-        x = np.concatenate([features[row_of[witness]], spread, features[row_of[clean]]]) @ root
+        if nth == 1:  # the clean units nearest to the toxic side are landmarks too
+            closest = clean[np.argsort(-score[clean], kind="stable")[: 8 * reverse]]
+            marks = np.concatenate([marks, _landmarks([rows[k][: size[k]].tobytes() for k in closest], score[closest] - score[closest].min() + 1, reverse)])
+        if nth < 2:
+            kernel = Kernel(marks)
+            # Nyström: the map k(., landmarks) W^(-1/2), W the landmarks' kernel
+            w = kernel.matrix(marks).astype(np.float64)
+            value, vector = np.linalg.eigh((w + w.T) / 2 + 1e-3 * np.eye(len(marks)))
+            root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
+            # most units are like no landmark: they share one row of zeros, the last
+            unit, mark, worth = kernel.pairs(rows)
+            near, at = np.unique(unit, return_inverse=True)
+            features = np.zeros((len(near) + 1, len(marks)), dtype=np.float32)
+            features[at, mark] = worth
+            row_of = np.full(len(rows), len(near))
+            row_of[near] = np.arange(len(near))
+            extra = kernel.matrix(spread)
+        x = np.concatenate([features[row_of[witness]], extra, features[row_of[clean]]]) @ root
         weight, offset = svm(x.astype(np.float32), np.where(np.arange(len(x)) < len(x) - len(clean), 1.0, -1.0), rounds=300)
         folded = (root @ weight).astype(np.float64)
         score = (features @ folded)[row_of] + offset
-    # the threshold halfway between the classes where it errs least by document
+    # the threshold that errs least: by clean document, and by toxic document and landmark with a letter put in alike
     worst = np.full(len(texts), -np.inf)
     np.maximum.at(worst, text, score[which])
-    order = np.argsort(worst, kind="stable")
-    ok = np.cumsum(~toxic[order]) / (~toxic).sum() - np.cumsum(toxic[order]) / toxic.sum()
-    best = int(np.argmax(ok))
-    finite = worst[order]
-    cut = finite[best] if best + 1 == len(finite) or not np.isfinite(finite[best]) else 0.5 * (finite[best] + finite[best + 1])
+    value = np.concatenate([worst[~toxic], worst[toxic], extra @ folded + offset])
+    gain = np.repeat([1 / (~toxic).sum(), -0.5 / toxic.sum(), -0.5 / len(extra)], [(~toxic).sum(), toxic.sum(), len(extra)])
+    order = np.argsort(value, kind="stable")
+    value = value[order]
+    best = int(np.argmax(np.cumsum(gain[order])))
+    cut = value[best] if best + 1 == len(value) or not np.isfinite(value[best]) else 0.5 * (value[best] + value[best + 1])
     return Model(marks, folded, offset - float(cut))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", n_toxic: int = TRAIN_TOXIC, n_clean: int = TRAIN_CLEAN) -> Model:
     """A model from at most n_toxic toxic and n_clean clean labelled documents, chosen by a hash of their ids."""
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("row_id"), "row_id")
     ids = labels.select(F.col(id_col).alias("row_id"), (F.col(label_col) > 0).alias("toxic")).dropna().groupBy("row_id").agg(F.max("toxic").alias("toxic"))
-    chosen = written(ids.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.when(F.col("toxic"), n_toxic).otherwise(n_clean)).select("row_id", "toxic"))
+    # each task keeps its own least hashes, so no class is sorted as a whole
+    some = [ids.where(F.col("toxic") == kind).orderBy(F.xxhash64("row_id"), "row_id").limit(n) for kind, n in ((True, n_toxic), (False, n_clean))]
+    chosen = written(some[0].unionByName(some[1]))
     rows = with_ids(docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("words")).dropna(), chosen.select("row_id"), "row_id", "left_semi").orderBy("row_id", "words").collect()
     toxic = {r["row_id"]: r["toxic"] for r in chosen.collect()}
     return train_on([r["words"] for r in rows], np.array([toxic[r["row_id"]] for r in rows]))
@@ -306,7 +344,7 @@ class Cache:
         new = np.flatnonzero(at < 0)
         score = np.empty(len(hashes))
         score[at >= 0] = self.score[at[at >= 0]]
-        score[new] = model.score(padded(units.letters, units.start[seen[new]], units.end[seen[new]]))
+        score[new] = model.score(units.padded(seen[new]))
         # rebuilding the table costs as much as it has entries, so it grows by doubling
         if len(self.known.keys) < CACHE:
             self.pending.append((hashes[new], score[new]))
