@@ -50,12 +50,14 @@ _SPACE = re.compile(r"\s+")
 
 
 def _close(stack: list[str], ends: frozenset, bounds: frozenset) -> None:
+    """Takes off the outermost element of ends that stands above the innermost one of bounds, and all above it."""
+    at = len(stack)
     for k in range(len(stack) - 1, -1, -1):
         if stack[k] in ends:
-            del stack[k:]
-            return
-        if stack[k] in bounds:
-            return
+            at = k
+        elif stack[k] in bounds:
+            break
+    del stack[at:]
 
 
 def text_nodes(page: str) -> list[tuple[str, int, str]]:
