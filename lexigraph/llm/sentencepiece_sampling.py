@@ -14,9 +14,10 @@ segmentation depends on nothing else.
 
 The vocabulary orders its pieces by frequency and has no usable log
 probabilities (its scores are merge ranks), so a piece of rank r has the
-probability of Zipf's law, 1 / (r + 2.7) normalised; theta sharpens it.  A
-character without a piece of its own becomes byte pieces, and so does a meta
-symbol that stands in the text itself, which keeps decoding lossless.
+probability of Zipf's law, 1 / (r + 2.7) normalised; theta is its exponent, and
+the smaller it is, the more segmentations have a say.  A character without a
+piece of its own becomes byte pieces, and so does a meta symbol that stands in
+the text itself, which keeps decoding lossless.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from lexigraph.llm.textops import U64, Lookup, RollingHash, list_array, mix, ragged, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-THETA, SEED = 2.0, 0
+THETA, SEED = 0.3, 0
 META = 0x2581
 _LITERAL_META = 0x110000
 SLICE_BYTES = 1 << 20
