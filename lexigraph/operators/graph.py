@@ -121,11 +121,11 @@ def descendant_langs(edges: DataFrame, items: DataFrame) -> DataFrame:
     lang = items.select(F.col("item_id").alias("child"), "lang_id")
     step = materialize(edges.select("child", "parent").distinct())
     new = materialize(step.join(lang, "child").select(F.col("parent").alias("item_id"), "lang_id").distinct())
-    seen = new
+    seen = new  # a union of the rounds' files: none is written twice
     while not new.isEmpty():
         up = new.join(step, new["item_id"] == step["child"]).select(F.col("parent").alias("item_id"), "lang_id").distinct()
         new = materialize(up.join(seen, ["item_id", "lang_id"], "left_anti"))
-        seen = materialize(seen.unionByName(new))
+        seen = seen.unionByName(new)
     return seen
 
 

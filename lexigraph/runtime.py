@@ -25,22 +25,32 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, path.relative_to(root.parent))
-    path = os.path.join(tempfile.mkdtemp(prefix="lexigraph-ship-"), "lexigraph_ship.zip")
-    Path(path).write_bytes(buffer.getvalue())
-    spark.sparkContext.addPyFile(path)  # the driver serves this file to the executors
+    path = f"{shared_dir(spark)}/lexigraph_ship.zip"
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(buffer.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(path)
     _shipped.add(app)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet under spark.checkpoint.dir and read again; a temporary folder where that is unset, as in tests."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder under the one the cluster shares, spark.checkpoint.dir. Where that is unset, as in tests, a temporary one, but on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "lexigraph-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again: lineage ends there, and lost executors cost nothing that is written."""
+    path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Estimated bytes of a side that joins broadcast at most; larger ones shuffle.
