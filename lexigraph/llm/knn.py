@@ -8,7 +8,7 @@
 3. Bounds: for a cell of queries, the k-th least upper bound (its radius + the
    distance of the pivots + a data row's distance to its own) is a radius that
    surely holds k neighbours of each of its queries.
-4. Cells of queries are grouped by nearness.  A data row goes to a group only if
+4. Cells of queries are grouped by nearness, and larger ones split.  A data row goes to a group only if
    for one of its cells the triangle inequality lets it be within the bound.
 5. Each group is solved by itself, cell by cell with the same test, exactly.
 """
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from lexigraph.llm.textops import binaries, buckets, written
 
-K, PIVOTS = 10, 256
-#: Queries a group holds at most, about: more data makes more groups.
+K = 10
+#: Pivots are as many as the root of the data's rows, up to this: distances between them and groups' bounds are held by the driver.
+PIVOTS = 2048
+#: Queries a group holds at most: more data makes more groups, and a larger cell is split between several.
 GROUP_ROWS = 4096
 _SLACK = 1e-9
 
@@ -61,19 +63,17 @@ def _assign(vectors: DataFrame, pivots, dim: int) -> DataFrame:
     return vectors.select("id", "v").mapInArrow(run, "cell int, id long, d double, v array<double>")
 
 
-def bounds(between: np.ndarray, query_far: np.ndarray, near: list[np.ndarray], k: int) -> np.ndarray:
-    """For each cell of queries a distance that holds k data rows of any of its queries: infinite if there are fewer than k."""
+def bounds(between: np.ndarray, query_far: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+    """For each cell of queries a distance that holds k data rows of any of its queries: infinite if there are fewer than k. near has a row for each cell of data: its k least distances, then infinities."""
     out = np.full(len(between), np.inf)
     for i in np.flatnonzero(query_far >= 0):
-        ub = np.concatenate([between[i, j] + x for j, x in enumerate(near)]) if near else np.zeros(0)
-        if len(ub) >= k:
-            out[i] = query_far[i] + np.partition(ub, k - 1)[k - 1]
+        out[i] = query_far[i] + np.partition((between[i][:, None] + near).reshape(-1), k - 1)[k - 1]
     return out + _SLACK
 
 
-def group_cells(between: np.ndarray, sizes: np.ndarray, rows: int) -> np.ndarray:
-    """A group for each cell of queries (-1 for empty ones): neighbouring cells together, about rows queries each."""
-    group = np.full(len(sizes), -1)
+def group_cells(between: np.ndarray, sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first group of each cell of queries, how many it has): neighbouring cells share a group of rows queries, a cell of more has several; -1 and 0 for empty cells."""
+    group, parts = np.full(len(sizes), -1), -(-sizes // rows)
     left = set(np.flatnonzero(sizes).tolist())
     n = 0
     while left:
@@ -86,8 +86,8 @@ def group_cells(between: np.ndarray, sizes: np.ndarray, rows: int) -> np.ndarray
                 left.remove(c)
             if total >= rows:
                 break
-        n += 1
-    return group
+        n += max(1, -(-total // rows))
+    return group, parts
 
 
 def _solve(q_id, q, q_cell, s_id, s, s_cell, s_d, k: int, between, far, theta, exclude_self: bool):
@@ -155,37 +155,39 @@ def knn_join(queries: DataFrame, data: DataFrame | None = None, k: int = K, id_c
     for c, n, d in q_rows.groupBy("cell").agg(F.count("*"), F.max("d")).collect():
         far[c], sizes[c] = d, n
     want = k + 1 if own else k
-    near = [np.zeros(0)] * len(p)
+    near = np.full((len(p), want), np.inf)
     # the k least distances of each cell: aggregated in a bounded way, so no cell is sorted as a whole
     least = s_rows.groupBy("cell", F.spark_partition_id().alias("part")).agg(F.slice(F.sort_array(F.collect_list("d")), 1, want).alias("d"))
     for c, d in least.groupBy("cell").agg(F.slice(F.sort_array(F.flatten(F.collect_list("d"))), 1, want)).collect():
-        near[c] = np.array(d)
+        near[c, : len(d)] = d
     theta = bounds(between, far, near, want)
     per_group = max(1, min(group_rows, -(-int(sizes.sum()) // buckets(spark)) * 2))
-    group = group_cells(between, sizes, per_group)
-    n_groups = int(group.max(initial=-1)) + 1
+    group, parts = group_cells(between, sizes, per_group)
+    n_groups = int((group + parts)[parts > 0].max(initial=0))
     # a data row of cell j at distance d may serve group g only from this distance on
     floor = np.full((n_groups, len(p)), np.inf)
     for c in np.flatnonzero(group >= 0):
-        floor[group[c]] = np.minimum(floor[group[c]], between[c] - far[c] - theta[c] - _SLACK)
-    plan = spark.sparkContext.broadcast((group, floor, between, far, theta))
+        own_groups = slice(group[c], group[c] + parts[c])
+        floor[own_groups] = np.minimum(floor[own_groups], between[c] - far[c] - theta[c] - _SLACK)
+    plan = spark.sparkContext.broadcast((group, parts, floor, between, far, theta))
 
     def route(role: int):
         def run(batches):
-            group, floor, *_ = plan.value
+            group, parts, floor, *_ = plan.value
             for batch in batches:
                 cell = batch.column(0).to_numpy().astype(np.int64)
                 ids, d = batch.column(1).to_numpy(), batch.column(2).to_numpy()
                 v = _vectors(batch.column(3), dim)
-                for g in range(len(floor)) if role else np.unique(group[cell]):
-                    rows = np.flatnonzero(d >= floor[g, cell] if role else group[cell] == g)
+                mine = None if role else group[cell] + ids % parts[cell]
+                for g in range(len(floor)) if role else np.unique(mine):
+                    rows = np.flatnonzero(d >= floor[g, cell] if role else mine == g)
                     if len(rows):
                         yield pa.RecordBatch.from_arrays([pa.array([int(g)], pa.int32()), pa.array([role], pa.int32()), *(binaries([x[rows]]) for x in (ids, cell, d, v))], names=["group", "role", "ids", "cells", "d", "v"])
 
         return run
 
     def solve(_, table):
-        _, _, between, far, theta = plan.value
+        *_, between, far, theta = plan.value
         sides = []
         for role in (0, 1):
             part = table.filter(pa.compute.equal(table.column("role"), role))

@@ -8,15 +8,14 @@ loops over rows or words in Python.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lexigraph.runtime import materialize as written
+
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -197,22 +196,6 @@ class Lookup:
         return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one the cluster shares (spark.checkpoint.dir); a temporary one where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "lexigraph-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: lineage ends there and lost executors cost nothing."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def buckets(spark: SparkSession) -> int:
     """How many buckets to split keyed work into: a few for each shuffle partition, so it grows as the job is sized."""
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
