@@ -17,7 +17,11 @@ two documents or more.
    as long as a whole document cost no deeper comparison.
 
 A bucket is all that a task ever holds, and the number of buckets follows the
-size of the job.  Prefixes are compared by 64-bit hashes of their words.
+size of the job.  A prefix that several documents of a task share is known to
+be a repeat there: its least suffix alone goes to the bucket, marked as sure,
+and the others go on by document, so a passage that a large share of all
+documents holds makes no bucket large.  Prefixes are compared by 64-bit hashes
+of their words.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ from lexigraph.llm.textops import U64, RollingHash, binaries, buckets, key_bucke
 #: Perfect difference sets: every residue is a difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
 MIN_WORDS = 50
-FLUSH = 400_000
+#: Suffixes that a task gathers before it sends them on.
+FLUSH = 1_000_000
 
 
 def cover(min_words: int) -> tuple[int, tuple[int, ...]]:
@@ -41,14 +46,34 @@ def cover(min_words: int) -> tuple[int, tuple[int, ...]]:
     return v, COVERS[v]
 
 
+def _groups(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of those that share a key with another, by key, document and position; where groups begin; whether each has two documents)."""
+    order = np.argsort(key, kind="stable")
+    sorted_key = key[order]
+    starts = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    length = np.diff(np.append(starts, len(key)))
+    many = length > 1
+    order, length = order[np.repeat(many, length)], length[many]
+    order = order[np.lexsort((pos[order], doc[order], np.repeat(np.arange(len(length)), length)))]
+    first = np.cumsum(length) - length
+    return order, first, doc[order[first]] != doc[order[first + length - 1]]
+
+
 def _emit(n: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-    """A batch of one row for each bucket: its keys, documents (as differences) and positions."""
+    """A batch of one row for each bucket: its keys, documents (as differences), positions and marks of sure repeats; from bucket n on, repeats by document."""
     key, doc, pos = (np.concatenate(x) for x in zip(*parts))
-    heads, (keys, docs, places) = split_by(key_buckets(key, n), key, doc, pos)
-    return pa.RecordBatch.from_arrays([pa.array(heads, pa.int32()), binaries(keys), binaries([np.diff(d, prepend=0) for d in docs]), binaries([p.astype(np.int32) for p in places])], names=["bucket", "keys", "docs", "places"])
+    order, first, two = _groups(key, doc, pos)
+    sure, local = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
+    local[order] = np.repeat(two, np.diff(np.append(first, len(order))))
+    sure[order[first[two]]] = True
+    local[sure] = False
+    bucket = np.where(local, n + key_buckets(mix(doc.view(U64)), n), key_buckets(key, n))
+    heads, (keys, docs, places, marks) = split_by(bucket, key, doc, pos, sure)
+    keys = [k if b < n else k[:0] for b, k in zip(heads, keys)]
+    return pa.RecordBatch.from_arrays([pa.array(heads, pa.int32()), binaries(keys), binaries([np.diff(d, prepend=0) for d in docs]), binaries([p.astype(np.int32) for p in places]), binaries(marks)], names=["bucket", "keys", "docs", "places", "sure"])
 
 
-_BUCKETS = "bucket int, keys binary, docs binary, places binary"
+_BUCKETS = "bucket int, keys binary, docs binary, places binary, sure binary"
 
 
 def _load(table: pa.Table, *columns: tuple[str, type]) -> list[np.ndarray]:
@@ -61,24 +86,19 @@ def _load(table: pa.Table, *columns: tuple[str, type]) -> list[np.ndarray]:
 
 def _ties(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorts a bucket; (document, position, is least) of the suffixes that tie with one of another document."""
-    key, doc, pos = _load(table, ("keys", U64), ("docs", np.int64), ("places", np.int32))
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    length = np.diff(np.append(starts, len(key)))
-    many = length > 1
-    keep = np.repeat(many, length)
-    order, group = order[keep], np.repeat(np.arange(int(many.sum())), length[many])
-    doc, pos = doc[order], pos[order]
-    order = np.lexsort((pos, doc, group))
-    doc, pos, group = doc[order], pos[order], group[order]
-    if not len(doc):
-        return doc, pos, np.zeros(0, dtype=bool)
-    head = np.concatenate([[True], group[1:] != group[:-1]])
-    first = np.flatnonzero(head)
-    last = np.append(first[1:], len(doc)) - 1
-    two = np.repeat(doc[first] != doc[last], last - first + 1)
-    return doc[two], pos[two], head[two]
+    key, doc, pos, sure = _load(table, ("keys", U64), ("docs", np.int64), ("places", np.int32), ("sure", np.bool_))
+    if not len(key):  # found to be repeats, and not the least, by the task that read them
+        return doc, pos, np.zeros(len(doc), dtype=bool)
+    order, first, two = _groups(key, doc, pos)
+    length = np.diff(np.append(first, len(order)))
+    two = two | np.logical_or.reduceat(sure[order], first) if len(first) else two
+    alone = sure.copy()
+    alone[order] = False
+    head = np.zeros(len(order), dtype=bool)
+    head[first] = True
+    tied = np.repeat(two, length)
+    at = np.concatenate([order[tied], np.flatnonzero(alone)])
+    return doc[at], pos[at], np.concatenate([head[tied], np.ones(len(at) - int(tied.sum()), dtype=bool)])
 
 
 def _by_document(n: int, doc: np.ndarray, pos: np.ndarray, head: np.ndarray) -> pa.Table:

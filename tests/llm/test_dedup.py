@@ -196,3 +196,28 @@ def test_suffix_edge_cases(nasty, nothing):
 def test_key_buckets_cover_their_range():
     k = np.array([0, 2**64 - 1, 2**63], dtype=np.uint64)
     assert key_buckets(k, 10).tolist() == [0, 9, 5]
+
+
+def test_a_passage_of_many_documents_sends_one_suffix_a_task():
+    rng = np.random.default_rng(1)
+    key = np.concatenate([np.full(500, 77, dtype=np.uint64), rng.integers(1000, 2**63, 300).astype(np.uint64), np.full(9, 5, dtype=np.uint64)])
+    doc = np.concatenate([rng.permutation(500), np.arange(300), np.full(9, 3)]).astype(np.int64)
+    pos = np.arange(len(key)).astype(np.int64)
+    batch = suffix_dedup._emit(4, [(key, doc, pos)]).to_pydict()
+    keys = np.concatenate([np.frombuffer(k, dtype=np.uint64) for k in batch["keys"]])
+    sure = np.concatenate([np.frombuffer(m, dtype=bool) for b, m in zip(batch["bucket"], batch["sure"]) if b < 4])
+    assert (keys == 77).sum() == 1 and (keys == 5).sum() == 9 and len(keys) == 310 and sure.sum() == 1
+    passed = sum(len(p) // 4 for b, p in zip(batch["bucket"], batch["places"]) if b >= 4)
+    assert passed == 499
+
+
+@pytest.mark.parametrize("flush", [1, 40])
+def test_repeats_over_many_tasks_and_flushes(spark, rng, monkeypatch, flush):
+    monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
+    hot = prose(rng, 15)
+    rows = [(i, f"{prose(rng, rng.randrange(9))} {hot if i % 3 else ''} {prose(rng, rng.randrange(9))}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in suffix_dedup.repeated_passages(docs, min_words=12).collect()}
+    assert got == repeats_by_brute_force(rows, 12) and len(got) == 40
+    kept = {r["doc_id"]: r["text"] for r in suffix_dedup.drop_repeated_passages(docs, min_words=12).collect()}
+    assert [i for i, t in kept.items() if hot in t] == [1]
