@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigraph.llm import bpe
+from lexigraph.llm.textops import written
 
 FREQUENT, CACHE, FAN_IN = 20_000, 300_000, 64
 _SUMMARY = "part int, words array<string>, counts array<long>"
@@ -54,8 +55,8 @@ def frequent_pretokens(docs: DataFrame, size: int = FREQUENT, text_col: str = "t
                 counts[w] += k
         return pa.Table.from_batches([batch_of(key[0].as_py(), _top(counts, 4 * size))])
 
-    summaries = docs.select(F.col(text_col)).mapInArrow(summarise, _SUMMARY)
-    parts = docs.rdd.getNumPartitions()
+    summaries = written(docs.select(F.col(text_col)).mapInArrow(summarise, _SUMMARY))
+    parts = (summaries.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         parts = -(-parts // FAN_IN)
         summaries = summaries.withColumn("part", (F.col("part") / FAN_IN).cast("int")).groupBy("part").applyInArrow(merge, _SUMMARY)
