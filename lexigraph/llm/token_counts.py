@@ -50,9 +50,11 @@ def frequent_pretokens(docs: DataFrame, size: int = FREQUENT, text_col: str = "t
 
     def merge(key, table):
         counts: Counter = Counter()
-        for words, n in zip(table.column("words").to_pylist(), table.column("counts").to_pylist()):
-            for w, k in zip(words, n):
+        for words, n in zip(table.column("words"), table.column("counts")):  # one summary at a time becomes Python's
+            for w, k in zip(words.as_py(), n.as_py()):
                 counts[w] += k
+            if len(counts) > 16 * size:
+                counts = Counter(dict(_top(counts, 4 * size)))
         return pa.Table.from_batches([batch_of(key[0].as_py(), _top(counts, 4 * size))])
 
     summaries = written(docs.select(F.col(text_col)).mapInArrow(summarise, _SUMMARY))
