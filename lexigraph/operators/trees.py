@@ -65,12 +65,27 @@ def other_parents(tree: DataFrame, edges: DataFrame) -> DataFrame:
     return tree.join(every, "item_id", "left").withColumn("other_parents", F.coalesce(others, F.array().cast("array<struct<ety_order:int,item_id:bigint>>"))).drop("every")
 
 
-def cognates_tree(edges: DataFrame, admissible: DataFrame, items: DataFrame) -> DataFrame:
-    """The descendants trees of the progenitors of each item (column id), with that item as `of`; an item without progenitors has none."""
+def cognates_tree(edges: DataFrame, admissible: DataFrame, items: DataFrame, opened: DataFrame | None = None) -> DataFrame:
+    """The descendants trees of the progenitors of each item (column id), with that item as `of`; an item without progenitors has none.
+
+    With opened (root, id), as of graph.ancestors_in_langs, the forest of each
+    item also goes down every edge from that item's own open ones; without it,
+    admissible holds for all items alike and a tree is walked once.
+    """
     tops = progenitors(edges, items).select(F.col("item_id").alias("of"), F.explode("items").alias("id"))
     tops = materialize(tops)
-    tree = descendants_tree(admissible, tops.select("id").distinct())
-    return tops.join(tree, tops["id"] == tree["root"]).drop("id")
+    if opened is None:
+        tree = descendants_tree(admissible, tops.select("id").distinct())
+        return tops.join(tree, tops["id"] == tree["root"]).drop("id")
+    own = opened.groupBy(F.col("root").alias("of")).agg(F.collect_set("id").alias("opened"))
+    first = tops.join(own, "of", "left").select(
+        "of", F.col("id").alias("root"), F.array(F.col("id").cast("string")).alias("path"), F.lit(0).alias("depth"), F.col("id").alias("item_id"), F.lit(None).cast("long").alias("tree_parent"), F.lit(None).cast("int").alias("parent_ety_order"),
+        F.coalesce("opened", F.array().cast("array<bigint>")).alias("opened"),
+    )
+    ok = admissible.select("child", "parent", F.col("ord").cast("int").alias("ord"), F.lit(True).alias("ok")).distinct()
+    step = edges.select("child", "parent", F.col("ord").cast("int").alias("ord")).join(ok, ["child", "parent", "ord"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    carried = ["t.of", "t.root", "array_append(t.path, concat(e.child, ':', e.ord))", "t.depth + 1", "e.child", "t.item_id", "e.ord", "t.opened"]
+    return recurse(first, step, "t.item_id = e.parent AND (e.ok OR array_contains(t.opened, e.parent))", carried).drop("opened")
 
 
 def without_modes(edges: DataFrame, items_modes: DataFrame, disabled: list[str], node: str) -> DataFrame:
