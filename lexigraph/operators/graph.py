@@ -7,8 +7,10 @@ executor repeats one round at most.  Bounded ones (from given items) are too.
 
 from __future__ import annotations
 
+import heapq
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,62 +147,146 @@ def feedback_arcs(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Arcs (child, parent) that a greedy vertex order (Eades, Lin, Smyth) leaves pointing back, ties by the lower id; without them there is no cycle."""
     out: dict[int, set[int]] = {}
     into: dict[int, set[int]] = {}
-    nodes = sorted({x for p in pairs for x in p})
     for a, b in pairs:
         if a != b:
             out.setdefault(a, set()).add(b)
             into.setdefault(b, set()).add(a)
-    left, front, back = set(nodes), [], []
+    left = {x for p in pairs for x in p}
+    front, back = [], []
+    # sweeps by rising id take sinks and sources; one that appears behind the sweep waits for the next
+    sweep = sorted(x for x in left if not out.get(x) or not into.get(x))
+    queued, later = set(sweep), []
+    best = [(len(into.get(x, ())) - len(out.get(x, ())), x) for x in left]
+    heapq.heapify(best)
 
     def take(x: int) -> None:
         left.discard(x)
-        for y in out.pop(x, ()):
-            into.get(y, set()).discard(x)
-        for y in into.pop(x, ()):
-            out.get(y, set()).discard(x)
+        above, below = out.pop(x, set()), into.pop(x, set())
+        for y in above:
+            into[y].discard(x)
+        for y in below:
+            out[y].discard(x)
+        for y in above | below:
+            o, i = len(out.get(y, ())), len(into.get(y, ()))
+            heapq.heappush(best, (i - o, y))
+            if (not o or not i) and y not in queued:
+                queued.add(y)
+                heapq.heappush(sweep if y > x else later, y)
 
     while left:
-        moved = True
-        while moved:
-            moved = False
-            for x in sorted(left):
-                if not out.get(x):
-                    back.append(x)
-                    take(x)
-                    moved = True
-                elif not into.get(x):
-                    front.append(x)
-                    take(x)
-                    moved = True
-        if left:
-            x = max(sorted(left), key=lambda v: len(out.get(v, ())) - len(into.get(v, ())))
-            front.append(x)
+        while sweep or later:
+            if not sweep:
+                sweep, later = later, sweep
+            x = heapq.heappop(sweep)
+            (front if out.get(x) else back).append(x)
             take(x)
+        while left:
+            value, x = heapq.heappop(best)
+            if x in left and value == len(into.get(x, ())) - len(out.get(x, ())):
+                front.append(x)
+                take(x)
+                sweep, later = sorted(sweep + later), []  # sweeps begin anew
+                break
     place = {x: k for k, x in enumerate(front + back[::-1])}
     return sorted({(a, b) for a, b in pairs if place[a] >= place[b]})
 
 
-#: Arcs of the cyclic core that the driver solves at most.
+def strong_components(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The arcs within each strongly connected component; arcs between two components lie on no cycle and are left out."""
+    out: dict[int, list[int]] = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    index: dict[int, int] = {}
+    low: dict[int, int] = {}
+    home: dict[int, int] = {}
+    stack: list[int] = []
+    for start in out:
+        if start in index:
+            continue
+        index[start] = low[start] = len(index)
+        stack.append(start)
+        walk = [(start, iter(out[start]))]
+        while walk:
+            x, ahead = walk[-1]
+            for y in ahead:
+                if y not in index:
+                    index[y] = low[y] = len(index)
+                    stack.append(y)
+                    walk.append((y, iter(out.get(y, ()))))
+                    break
+                if y not in home:
+                    low[x] = min(low[x], index[y])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[x])
+                if low[x] == index[x]:
+                    while True:
+                        home[y := stack.pop()] = x
+                        if y == x:
+                            break
+    found: dict[int, list[tuple[int, int]]] = {}
+    for a, b in pairs:
+        if home[a] == home[b]:
+            found.setdefault(home[a], []).append((a, b))
+    return list(found.values())
+
+
+def _spread(step: DataFrame, values: DataFrame) -> DataFrame:
+    """values (id, v) with each v raised to the greatest of any node that a path of step (near, far) leads from."""
+    fresh = values
+    while not fresh.isEmpty():
+        sent = fresh.join(step, fresh["id"] == step["near"]).groupBy(F.col("far").alias("id")).agg(F.max("v").alias("got"))
+        raised = materialize(values.join(sent, "id", "left").select("id", F.greatest("v", "got").alias("v"), (F.col("got") > F.col("v")).alias("up")))
+        values, fresh = raised.select("id", "v"), raised.where("up").select("id", "v")
+    return values
+
+
+def _cut_components(core: DataFrame, limit: int) -> tuple[list[DataFrame], DataFrame]:
+    """(tables of (child, parent, component) of whole strongly connected components, the rest of the core with at most limit arcs, which no component of these tables touches).
+
+    Each round colours nodes by the greatest id that reaches them; the nodes of
+    a colour that reach the node it is named after are a component.  A round
+    takes as many joins as the longest of the shortest paths has arcs.
+    """
+    done: list[DataFrame] = []
+    while core.count() > limit:
+        nodes = core.select(F.col("child").alias("id")).union(core.select("parent")).distinct()
+        colour = _spread(core.select(F.col("child").alias("near"), F.col("parent").alias("far")), materialize(nodes.withColumn("v", F.col("id"))))
+        inside = core.join(colour.select(F.col("id").alias("child"), F.col("v").alias("component")), "child").join(colour.select(F.col("id").alias("parent"), F.col("v").alias("c")), "parent")
+        inside = materialize(inside.where("component = c").select("child", "parent", "component"))
+        reach = _spread(inside.select(F.col("parent").alias("near"), F.col("child").alias("far")), materialize(colour.select("id", F.when(F.col("id") == F.col("v"), 1).otherwise(0).alias("v"))))
+        taken = materialize(reach.where("v = 1").select("id"))
+        both = inside.join(taken.select(F.col("id").alias("child")), "child", "left_semi").join(taken.select(F.col("id").alias("parent")), "parent", "left_semi")
+        done.append(materialize(both))
+        rest = inside.join(taken.select(F.col("id").alias("child")), "child", "left_anti").join(taken.select(F.col("id").alias("parent")), "parent", "left_anti")
+        core = cyclic_core(rest.select("child", "parent"))
+    return done, core
+
+
+#: Arcs of the cyclic core whose components the driver finds at most; those of a larger one are found in Spark, and are the same.
 CORE_LIMIT = 1_000_000
 
 
 def remove_cycles(edges: DataFrame) -> DataFrame:
     """edges without a cycle: of each item that a feedback arc starts from, all edges to parents go; an acyclic graph stays as it is.
 
-    Peeling is distributed; the core that is left goes to the driver if it has
-    at most CORE_LIMIT arcs.  A larger one loses the edges of its greatest child
-    in each strongly tied neighbourhood until it fits.
+    Peeling is distributed.  Each strongly connected component of the core is
+    solved on its own, so an item in no cycle keeps its edges and the result
+    doesn't depend on CORE_LIMIT.  Components that are found in Spark are solved
+    there, each in one task, whose memory it must fit.
     """
     edges = materialize(edges)
-    core = cyclic_core(edges)
-    gone = None
-    while core.count() > CORE_LIMIT:
-        # a local maximum of child ids has only edges to lower ids in the core: cutting it breaks every cycle that turns there
-        turns = core.groupBy("child").agg(F.max("parent").alias("top")).where("child >= top").select("child").join(core.groupBy(F.col("parent").alias("child")).agg(F.max("child").alias("below")).where("child >= below").drop("below"), "child")
-        gone = turns if gone is None else gone.union(turns)
-        core = cyclic_core(core.join(materialize(turns), "child", "left_anti"))
-    arcs = feedback_arcs([tuple(r) for r in core.collect()])
-    sources = edges.sparkSession.createDataFrame([(a,) for a, _ in arcs], "child long").distinct()
-    if gone is not None:
-        sources = sources.union(gone).distinct()
-    return edges.join(sources, "child", "left_anti").select(edges.columns)
+    done, core = _cut_components(cyclic_core(edges), CORE_LIMIT)
+    arcs = [a for part in strong_components([tuple(r) for r in core.collect()]) for a in feedback_arcs(part)]
+    sources = edges.sparkSession.createDataFrame([(a,) for a, _ in arcs], "child long")
+
+    def solve(pdf):
+        back = feedback_arcs(list(zip(pdf["child"].tolist(), pdf["parent"].tolist())))
+        return pd.DataFrame({"child": pd.Series([a for a, _ in back], dtype="int64")})
+
+    for part in done:
+        sources = sources.union(part.groupBy("component").applyInPandas(solve, "child long"))
+    if done:
+        sources = materialize(sources)
+    return edges.join(sources.distinct(), "child", "left_anti").select(edges.columns)
