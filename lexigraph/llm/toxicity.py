@@ -2,7 +2,8 @@
 
 A unit is a word without the signs inside it, or the word that a run of three
 or more single letters spells, so inserted signs and spaces are gone before
-anything is compared; a mark stands before its first letter and one behind its
+anything is compared; so is a word that spaces cut into two to PIECES pieces, if it begins
+as a toxic landmark of about its length and has most of its letters.  A mark stands before its first letter and one behind its
 last, so that a clean word that contains an insult is not one.  The kernel
 sums, over all subsequences of ORDERS characters that two strings share, DECAY to the power of the characters
 that their two spans skip: letters inserted into an insult cost something but
@@ -40,6 +41,8 @@ LIFT = 8
 _BEGIN, _END, WIDTH = 1, 2, WINDOW + 2
 #: Share of a landmark's distinct letters that a unit must have; the kernel is 0 below it.
 SHARED = 0.75
+#: Neighbouring words of a sentence that are read as one at most; such a word has as many letters as a toxic landmark or up to SLACK more.
+PIECES, SLACK = 4, 3
 #: Labelled documents of each class that are used for training at most.
 TRAIN_TOXIC, TRAIN_CLEAN = 1000, 2000
 CACHE = 2_000_000
@@ -69,6 +72,7 @@ class Units:
         sentence = stops[words.start] - stops[texts.offsets[:-1]][text]
         some = end > start
         start, end, text, sentence = start[some], end[some], text[some], sentence[some]
+        self.pieces = start, end, text, sentence
         # runs of single letters (of one sentence: the stops in "i.d.i.o.t" stand inside a word)
         single = end - start == 1
         step = np.ones(len(start), dtype=bool)
@@ -96,6 +100,29 @@ class Units:
             self.start, self.end = np.concatenate([self.start, begin]), np.concatenate([self.end, finish])
             self.text, self.sentence = np.concatenate([self.text, self.text[long][row]]), np.concatenate([self.sentence, self.sentence[long][row]])
 
+    def join(self, gate: Gate) -> None:
+        """Adds, from place `single` on, the words that two to PIECES neighbouring words of a sentence spell and that pass the gate; letters of neighbours adjoin."""
+        start, end, text, sentence = self.pieces
+        self.single = len(self.start)
+        if not gate.most or len(start) < 2:
+            return
+        letters = np.bitwise_or.reduceat(_LETTER[self.letters], start)
+        mask, alive = letters, np.arange(len(start))
+        found = []
+        for n in range(1, PIECES):
+            alive = alive[alive + n < len(start)]
+            last = alive + n
+            alive = alive[(end[last] - start[alive] <= gate.most) & (text[last] == text[alive]) & (sentence[last] == sentence[alive])]
+            mask = mask.copy()
+            mask[alive] |= letters[alive + n]
+            ok = alive[gate(self.letters[start[alive]], end[alive + n] - start[alive], mask[alive])]
+            found.append((ok, ok + n))
+        first, last = (np.concatenate(x) for x in zip(*found))
+        self.start, self.end = np.concatenate([self.start, start[first]]), np.concatenate([self.end, end[last]])
+        self.text, self.sentence = np.concatenate([self.text, text[first]]), np.concatenate([self.sentence, sentence[first]])
+        both = np.ones(len(first), dtype=bool)
+        self.opens, self.closes = np.concatenate([self.opens, both]), np.concatenate([self.closes, both])
+
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash of each distinct unit, an occurrence of it, each unit's place among them)."""
         h = RollingHash(self.letters)(self.start, self.end) + self.opens.astype(U64) + U64(2) * self.closes.astype(U64)
@@ -153,6 +180,27 @@ def _masks(rows: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(_LETTER[rows], axis=1)
 
 
+class Gate:
+    """What a word out of pieces must have to be worth the kernel: a toxic landmark's first letter, about its length and a SHARED part of its letters."""
+
+    def __init__(self, landmarks: np.ndarray):
+        size = (landmarks > _END).sum(axis=1)
+        whole = landmarks[(landmarks[:, 0] == _BEGIN) & (landmarks == _END).any(axis=1) & (size >= max(ORDERS))]
+        size, mask = (whole > _END).sum(axis=1), _masks(whole)
+        self.by_first: dict[int, list[tuple[int, np.uint32, int]]] = {}
+        for row, n, m in zip(whole, size, mask):
+            self.by_first.setdefault(int(row[1]), []).append((int(n), m, int(np.ceil(SHARED * np.bitwise_count(m)))))
+        self.most = min(WINDOW, int(size.max()) + SLACK) if len(whole) else 0
+
+    def __call__(self, first: np.ndarray, size: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(first), dtype=bool)
+        for letter, marks in self.by_first.items():
+            at = np.flatnonzero(first == letter)
+            for n, m, least in marks:
+                out[at] |= (size[at] >= n) & (size[at] <= n + SLACK) & (np.bitwise_count(mask[at] & m) >= least)
+        return out
+
+
 @dataclass
 class Kernel:
     """Normalised kernel values against landmarks."""
@@ -194,6 +242,10 @@ class Model:
 
     def __post_init__(self):
         self.kernel = Kernel(self.landmarks)
+        score = self.score(self.landmarks)
+        self.gate = Gate(self.landmarks[score > 0])
+        # chance makes far more words out of pieces than there are words, so these must come halfway to a landmark
+        self.margin = 0.5 * float(score[score > 0].min(initial=np.inf)) if (score > 0).any() else 0.0
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """The decision value of each unit; toxic above 0."""
@@ -385,7 +437,9 @@ def toxic_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                 units = Units(texts)
                 if not len(units.start):
                     continue
+                units.join(model.gate)
                 score = score_of(model, units)
+                score[units.single :] -= model.margin
                 bad = np.flatnonzero(score > 0)
                 doc = np.unique(units.text[bad])
                 worst = np.full(hi - lo, -np.inf)

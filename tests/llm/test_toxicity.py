@@ -78,6 +78,21 @@ def test_gaps_and_inserted_characters(spark, model):
     assert not found(spark, model, [f"the {w} of it" for w in NEAR])
 
 
+def test_insults_cut_by_spaces(spark, model):
+    """Two to four pieces of any length are one word; pieces of two sentences, and clean neighbours, are not."""
+    rng = random.Random(6)
+    for pieces in (2, 3, 4):
+        texts = []
+        for k in range(48):
+            word, words = INSULTS[k % 6], prose(rng, 30).split()
+            cuts = [0, *sorted(rng.sample(range(1, len(word)), pieces - 1)), len(word)]
+            words.insert(rng.randrange(len(words)), " ".join(word[a:b] for a, b in zip(cuts, cuts[1:])))
+            texts.append(" ".join(words))
+        assert len(found(spark, model, texts)) == 48, pieces
+    assert found(spark, model, ["You zum! Ple is here.", "a grib\nnok of it", "the zu mple of it", "so GRIB. nok", "the gr ib no k"]) == {2, 4}
+    assert not found(spark, model, [prose(rng, 2000)])
+
+
 def test_sentences_are_counted(spark, model):
     df = spark.createDataFrame([(1, "All is well. You zumple! Indeed."), (2, "All is well.")], "doc_id long, text string")
     rows = toxicity.toxic_documents(df, model).collect()
