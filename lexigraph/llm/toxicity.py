@@ -318,8 +318,7 @@ def train_on(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, re
         odds = (hits + misses) * (np.nan_to_num(share * np.log(share / p)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - p))))
     odds = np.where(share > p, odds, -odds)
     size = (rows != 0).sum(axis=1)
-    letters = size - (rows == _BEGIN).sum(axis=1) - (rows == _END).sum(axis=1)
-    evidence = np.where((letters >= max(ORDERS)) & (hits * (~toxic).sum() > LIFT * misses * toxic.sum()) & (odds > np.log(len(rows))), odds, 0)
+    evidence = np.where((size >= max(ORDERS)) & (hits * (~toxic).sum() > LIFT * misses * toxic.sum()) & (odds > np.log(len(rows))), odds, 0)
     if not (evidence > 0).any():
         return nothing
     strong = np.flatnonzero(evidence > 0)

@@ -93,6 +93,16 @@ def test_insults_cut_by_spaces(spark, model):
     assert not found(spark, model, [prose(rng, 2000)])
 
 
+@pytest.mark.parametrize("insult", ["vog", "zq"])
+def test_short_insults(spark, insult):
+    rng = random.Random(7)
+    texts = [prose(rng, 30).split() for _ in range(400)]
+    for words in texts[::4]:
+        words.insert(rng.randrange(len(words)), insult)
+    taught = toxicity.train_on([" ".join(w) for w in texts], np.arange(400) % 4 == 0)
+    assert found(spark, taught, [f"you {insult} of it", f"you {insult.upper()}!", "you dog of it", "all is well"]) == {0, 1}
+
+
 def test_sentences_are_counted(spark, model):
     df = spark.createDataFrame([(1, "All is well. You zumple! Indeed."), (2, "All is well.")], "doc_id long, text string")
     rows = toxicity.toxic_documents(df, model).collect()
