@@ -5,6 +5,9 @@ then one for each pair of languages within that family votes for the language.
 Features are hashed byte n-grams of the whole text in lower case, as shares of
 all its n-grams, so a text's length doesn't matter and its score is a mean of
 per-position weights: one table lookup a position and order.
+
+A text is of no learned language if nearly all of its n-grams occur nowhere in
+the training rows, and it has enough different ones to tell.
 """
 
 from __future__ import annotations
@@ -20,6 +23,10 @@ from pyspark.sql import functions as F
 from lexigraph.llm.textops import _LOWER, U64, Texts, slices, with_ids, written
 
 ORDERS, BITS = (2, 3, 4), 14
+#: Bits of the finer buckets that tell whether an n-gram was seen in training.
+FINE = 22
+#: A text is rejected if more than this share of its n-grams is unseen, and if it has this many different ones.
+UNSEEN, EVIDENCE = 0.5, 100
 #: Labelled rows of each language that a model is fitted on at most.
 TRAIN_PER_LANG = 300
 FAMILIES = {
@@ -37,7 +44,7 @@ def family(lang: str) -> str:
     return next((f for f, langs in FAMILIES.items() if lang in langs), lang)
 
 
-def _grams(texts: Texts) -> tuple[list[np.ndarray], np.ndarray]:
+def _grams(texts: Texts, bits: int = BITS) -> tuple[list[np.ndarray], np.ndarray]:
     """For each order the bucket of the n-gram that begins at each byte (-1 past a text's end), and which texts have a letter."""
     data = _LOWER[texts.data]
     # runs of anything but letters count as one space
@@ -50,7 +57,7 @@ def _grams(texts: Texts) -> tuple[list[np.ndarray], np.ndarray]:
         code = code[: len(data) - n + 1] << U64(8) | data[n - 1 :] if len(data) >= n else np.zeros(0, dtype=U64)
         if n in ORDERS:
             bucket = np.full(len(data), -1, dtype=np.int32)
-            bucket[: len(code)] = ((code + U64(n << 40)) * U64(0x9E3779B97F4A7C15) >> U64(64 - BITS)).astype(np.int32)
+            bucket[: len(code)] = ((code + U64(n << 40)) * U64(0x9E3779B97F4A7C15) >> U64(64 - bits)).astype(np.int32)
             bucket[place + n > ends] = -1
             bucket[:-1][~letter[:-1] & ~letter[1:]] = -1
             bucket[-1:] = -1
@@ -97,24 +104,38 @@ class Model:
     machines: list[tuple[str, str, str]]
     table: np.ndarray  # (buckets, machines)
     offset: np.ndarray
+    #: Bits of the FINE buckets that occur in the training rows.
+    seen: np.ndarray
 
     def scores(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(texts x machines) scores, and which texts have a letter."""
-        grams, some = _grams(texts)
+        return self._read(texts)[:2]
+
+    def _read(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """scores() and which texts are of no learned language."""
+        fine, some = _grams(texts, FINE)
+        grams = [g >> (FINE - BITS) for g in fine]  # -1 stays
         total = np.zeros((len(texts), len(self.machines)))
-        count = np.zeros(len(texts))
+        count, unseen = np.zeros(len(texts)), np.zeros(len(texts))
+        new = [(g >= 0) & (self.seen[g >> 3] >> (7 - (g & 7)).astype(np.uint8) & 1 == 0) for g in fine]
         full = np.flatnonzero(np.diff(texts.offsets))
         table = np.concatenate([self.table, np.zeros((1, len(self.machines)), dtype=np.float32)])  # bucket -1
         begin = texts.offsets[:-1][full]
-        for bucket in grams:
+        for bucket, first in zip(grams, new):
+            unseen[full] += np.add.reduceat(first, begin, dtype=np.int64)
             count[full] += np.add.reduceat(bucket >= 0, begin, dtype=np.int64)
             for m in range(len(self.machines)):
                 total[full, m] += np.add.reduceat(table[bucket, m], begin, dtype=np.float64)
-        return total / np.maximum(count, 1)[:, None] + self.offset, some
+        strange = unseen > UNSEEN * count
+        for k in np.flatnonzero(strange):
+            lo, hi = texts.offsets[k], texts.offsets[k + 1]
+            strange[k] = sum(len(np.unique(g[lo:hi][x[lo:hi]])) for g, x in zip(fine, new)) >= EVIDENCE
+        return total / np.maximum(count, 1)[:, None] + self.offset, some, strange
 
     def predict(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(place in langs or -1, least margin of the winner's votes)."""
-        scores, some = self.scores(texts)
+        scores, some, strange = self._read(texts)
+        some = some & ~strange
         n = len(texts)
 
         def vote(level: str, names: list[str], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +176,10 @@ def train_on(texts: list[str], langs: list[str]) -> Model:
             tables.append(w * scale)
             offsets.append(o)
     table = np.stack(tables, axis=1).astype(np.float32) if tables else np.zeros((1 << BITS, 0), dtype=np.float32)
-    return Model(names, families, machines, table, np.array(offsets))
+    seen = np.zeros(1 << FINE, dtype=bool)
+    for g in _grams(part, FINE)[0]:
+        seen[g[g >= 0]] = True
+    return Model(names, families, machines, table, np.array(offsets), np.packbits(seen))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_PER_LANG) -> Model:
@@ -171,7 +195,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(doc_id, predicted, family, margin) for each row of docs.
 
     predicted is 'und', with family null and margin 0, for a text without a
-    letter (null and empty ones too) and where no language was learned.
+    letter (null and empty ones too), for one of no learned language and where no language was learned.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -190,7 +214,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose language can't be told, which are those without a letter; all columns as they are."""
+    """docs without the rows whose language can't be told, which are those without a letter and those of no learned language; all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

@@ -62,3 +62,13 @@ def test_edge_cases(spark, model, nasty, nothing):
     one = langid.train_on([prose(random.Random(1), 50)] * 3, ["en"] * 3)
     assert {r["predicted"] for r in langid.identify(nasty.where("doc_id = 6"), one).collect()} == {"en"}
     assert langid.train(nasty).langs == ["de", "en", "fr"]
+
+
+def test_languages_that_were_not_learned(spark, model):
+    """Texts of other scripts are rejected if long enough to tell; no text of a learned language is, however short."""
+    rng = random.Random(8)
+    other = [" ".join("".join(rng.choices(letters, k=5)) for _ in range(20)) for letters in ("абвгдежзиклмнопрстуя", "今天天气很好我们去公园散步然后回家吃饭", "αβγδεζηθικλμνοπρστυω")]
+    own = [r[1] for r in corpus(9, 100)] + [r[1][:12] for r in corpus(10, 100)]
+    df = spark.createDataFrame(list(enumerate(other + own)), "doc_id long, text string")
+    assert {r["doc_id"] for r in langid.identify(df, model).where("predicted = 'und' and family is null and margin = 0").collect()} == {0, 1, 2}
+    assert {r["doc_id"] for r in langid.keep_identified(df, model).collect()} == set(range(3, 203))
