@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigraph.llm.textops import U64, binaries, buckets, longs, mix, slices, with_ids, written
+from lexigraph.llm.textops import U64, binaries, buckets, keyed, longs, mix, numbered, slices, with_ids, written
 
 RADIUS, TOTAL, BLOCKS = 11, 22, 6
 SHIFTS = (0, 11, 22, 33, 44, 54)
@@ -280,33 +280,36 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "id").unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, group_id, keep) for each document that has a near copy.
-
-    group_id is the least doc_id of the group of documents linked by near
-    pairs, and the document that carries it is the one to keep.  Documents
-    without a copy, without an id or without a word are in no group.  A doc_id
-    that occurs in several rows counts once for each distinct fingerprint.
-    """
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, group_id) of near_duplicate_groups, for ids that are longs."""
     prints = written(simhash(docs, id_col, text_col))
     distinct = written(prints.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     # one document may carry two fingerprints if its id repeats; pairs are then between the fingerprints' own numbers
     roots = components(near_pairs(distinct, forest=True))
     labelled = distinct.join(roots, "id", "left").select("f1", "f2", F.coalesce("root", "id").alias("group_id"), "copies", F.col("root").isNotNull().alias("linked"))
     grouped = labelled.where("linked or copies > 1").select("f1", "f2", "group_id")
-    return prints.join(grouped, ["f1", "f2"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id")).select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep"))
+    return prints.join(grouped, ["f1", "f2"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+
 
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, group_id, keep) for each document that has a near copy.
 
-def one_row_per_id(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with one row left of each id that repeats (the least text); rows without an id stay. Shuffles only rows whose id repeats."""
-    again = written(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
-    if again.isEmpty():
-        return docs
-    least = docs.join(again, id_col, "left_semi").groupBy(id_col).agg(F.min(F.struct(*[F.col(c) for c in docs.columns if c == "text"], *[F.col(c) for c in docs.columns if c not in ("text", id_col)])).alias("row"))
-    return docs.join(again, id_col, "left_anti").unionByName(least.select(id_col, "row.*").select(*docs.columns))
+    group_id is the least doc_id of the group of documents linked by near
+    pairs, and the document that carries it is the one to keep.  Documents
+    without a copy, without an id or without a word are in no group.  A doc_id
+    that occurs in several rows counts once for each distinct fingerprint.  Ids
+    of any orderable type will do.
+    """
+    rows, own = numbered(docs.select(id_col, text_col), id_col)
+    return own(_groups(rows, id_col, text_col), "doc_id", "group_id").select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each near-duplicate group (the least id), and one row of each id; rows without an id or a word stay."""
-    gone = near_duplicate_groups(docs, id_col, text_col).where("not keep").select(F.col("doc_id").alias(id_col))
-    return one_row_per_id(with_ids(docs, written(gone), id_col, "left_anti"), id_col)
+    """docs with one document of each near-duplicate group (the least id).
+
+    A document is an id with a text: rows that repeat both are one, and texts
+    that share an id are several.  Rows without an id or a word stay.
+    """
+    rows, key, _ = keyed(docs, id_col, text_col)
+    gone = written(_groups(rows.select(key, text_col), key, text_col).where("doc_id <> group_id").select(F.col("doc_id").alias(key)))
+    return with_ids(rows, gone, key, "left_anti").select(*docs.columns)

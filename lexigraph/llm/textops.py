@@ -8,11 +8,13 @@ loops over rows or words in Python.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from lexigraph.runtime import materialize as written
 
@@ -208,11 +210,52 @@ BROADCAST_IDS = 2_000_000
 def with_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     """Semi or anti join of df with ids (one column, already written): broadcast where they are counted to be few enough, shuffled otherwise."""
     small = ids.count() <= BROADCAST_IDS
-    from pyspark.sql import functions as F
-
     return df.join(F.broadcast(ids) if small else ids, column, how)
 
 
+def numbered(df: DataFrame, id_col: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """(df with its ids as longs in the ids' order, a function that puts the ids back into columns of such longs).
+
+    Integers are taken as they are; ids of another type are numbered in a table
+    of their own and joined, both ways, by shuffling.  Null stays null.
+    """
+    kind = df.schema[id_col].dataType
+    if isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        return df.withColumn(id_col, F.col(id_col).cast("long")), lambda found, *columns: found.withColumns({c: F.col(c).cast(kind) for c in columns})
+    own, nth = unused("own_id", df.columns), unused("nth_id", df.columns)
+    numbers = written(df.select(F.col(id_col).alias(own)).where(F.col(own).isNotNull()).distinct().orderBy(own).withColumn(nth, F.monotonically_increasing_id()))
+    rows = df.join(numbers, F.col(id_col) == F.col(own), "left").withColumn(id_col, F.col(nth)).select(*df.columns)
+
+    def back(found: DataFrame, *columns: str) -> DataFrame:
+        names = found.columns
+        for c in columns:
+            found = found.join(numbers.select(F.col(own).alias("_own"), F.col(nth).alias("_nth")), F.col(c) == F.col("_nth"), "left").withColumn(c, F.col("_own")).select(*names)
+        return found
+
+    return rows, back
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, Callable[..., DataFrame]]:
+    """(docs with a long key for each document, the key's name, a function that turns keys in columns into ids).
+
+    A document is an id with a text: rows that repeat both are one (the least
+    of their other columns that have an order), and texts that share an id are
+    several, keyed in the order of ids.  Rows without an id have no key.
+    Shuffles only rows whose id repeats, unless some do: then keys are numbered.
+    """
+    key = unused("row_key", docs.columns)
+    again = written(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
+    if again.isEmpty():
+        rows, back = numbered(docs.withColumn(key, F.col(id_col)), key)
+        return rows, key, back
+    ordered = [F.col(f.name) for f in docs.schema if f.name not in (text_col, id_col) and not any(x in f.dataType.simpleString() for x in ("map<", "variant", "void", "interval"))]
+    once = with_ids(docs, again, id_col, "left_semi").groupBy(id_col, text_col).agg(F.min_by(F.struct(*docs.columns), F.struct(F.lit(0), *ordered)).alias("row")).select("row.*")
+    mark = lambda df, digest: df.withColumn(key, F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), digest.alias("digest"))))
+    rows = mark(with_ids(docs, again, id_col, "left_anti").select(*docs.columns), F.lit("")).unionByName(mark(once.select(*docs.columns), F.coalesce(F.sha2(text_col, 256), F.lit(""))))
+    rows, back = numbered(rows, key)
+    return rows, key, lambda found, *columns: back(found, *columns).withColumns({c: F.col(c)["id"] for c in columns})
+
+
 def key_buckets(keys: np.ndarray, n: int) -> np.ndarray:
     """Which of n equal ranges of the 64-bit key space each key lies in."""
     return ((keys >> U64(32)) * U64(n) >> U64(32)).astype(np.int32)

@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from texts import prose
 
@@ -221,3 +222,89 @@ def test_repeats_over_many_tasks_and_flushes(spark, rng, monkeypatch, flush):
     assert got == repeats_by_brute_force(rows, 12) and len(got) == 40
     kept = {r["doc_id"]: r["text"] for r in suffix_dedup.drop_repeated_passages(docs, min_words=12).collect()}
     assert [i for i, t in kept.items() if hot in t] == [1]
+
+
+def suffixes_by_brute_force(texts, depth):
+    words = [t.lower().split() for t in texts]
+    return sorted(tuple(x.encode() for x in w[p : p + depth]) for w in words for p in range(len(w) - depth + 1))
+
+
+@pytest.mark.parametrize("collide", [False, True])
+@pytest.mark.parametrize("depth", [1, 3, 4, 9, 12, 25, 50])
+def test_suffix_sort_is_lexicographic(rng, monkeypatch, depth, collide):
+    if collide:  # nearly all hashes are equal
+        real = RollingHash.__call__
+        monkeypatch.setattr(RollingHash, "__call__", lambda self, s, e: real(self, s, e) % np.uint64(3))
+    for vocabulary in (1, 2, 5, 40):
+        texts = [" ".join(f"w{rng.randrange(vocabulary)}" for _ in range(rng.randrange(150))) for _ in range(10)]
+        texts += texts[:3]
+        at, new = suffix_dedup.suffix_sort(texts_of(texts).words(~suffix_dedup._WS), depth)
+        flat = [w.encode() for t in texts for w in t.lower().split()]
+        got = [tuple(flat[a : a + depth]) for a in at]
+        assert got == suffixes_by_brute_force(texts, depth) and [bool(x) for x in new] == [k == 0 or got[k] != got[k - 1] for k in range(len(got))]
+
+
+def test_equal_hashes_make_no_repeat(spark, rng, monkeypatch):
+    """Blocks and buckets compare words, so hashes that all collide change nothing."""
+    real = RollingHash.__call__
+    rows = [(i, prose(rng, 30)) for i in range(20)] + [(50, "a b c d e f g h"), (51, "x a b c d e f g y")]
+    pieces = [(i, 0, np.frombuffer(t.encode(), dtype=np.uint8)) for i, t in rows]
+    monkeypatch.setattr(RollingHash, "__call__", lambda self, s, e: real(self, s, e) % np.uint64(1))
+    batch = pa.Table.from_batches([suffix_dedup._block(3, pieces, 5)])
+    found = set()
+    for b in set(batch["bucket"].to_pylist()):
+        d, p, _ = suffix_dedup._bucket(batch.filter(pa.compute.equal(batch["bucket"], b)), 5)
+        found |= set(zip(d.tolist(), p.tolist()))
+    assert found == {(50, 0), (50, 1), (50, 2), (51, 1), (51, 2), (51, 3)}
+
+
+def cut_by_brute_force(rows, n):
+    """Texts after cutting each window that isn't the least of its words, but for the words of windows that are."""
+    where, words = defaultdict(list), {i: t.split() for i, t in rows}
+    for i, w in words.items():
+        for p in range(len(w) - n + 1):
+            where[tuple(x.lower() for x in w[p : p + n])].append((i, p))
+    cut, kept = defaultdict(set), defaultdict(set)
+    for at in where.values():
+        if len({i for i, _ in at}) > 1:
+            for i, p in at:
+                (kept if (i, p) == min(at) else cut)[i].update(range(p, p + n))
+    out = {i: [x for k, x in enumerate(w) if k not in cut[i] or k in kept[i]] for i, w in words.items()}
+    return {i: " ".join(w) for i, w in out.items() if w}, [k for k, at in where.items() if len({i for i, _ in at}) > 1]
+
+
+def test_a_window_between_two_cut_ones_stays(spark):
+    rows = [(1, "x1 a b c d x2"), (2, "y1 c d e f y2"), (5, "q1 a b c d e f q2"), (9, "z1 b c d e z2")]
+    want, _ = cut_by_brute_force(rows, 4)
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), min_words=4).collect()}
+    assert got == want and want[5] == "q1 b c d e q2" and want[9] == "z1 z2"
+
+
+def test_cutting_equals_brute_force_and_keeps_each_window(spark, rng):
+    pool = [f"w{k}" for k in range(12)]
+    shared = [[rng.choice(pool) for _ in range(rng.randrange(6, 25))] for _ in range(12)]
+    rows = []
+    for i in range(60):
+        w = [f"own{i}"]
+        for _ in range(rng.randrange(4)):
+            s = rng.choice(shared)
+            a = rng.randrange(len(s) - 3)
+            w += s[a : a + rng.randrange(4, 20)] + [f"own{i}x{len(w)}"]
+        rows.append((i, " ".join(w)))
+    want, windows = cut_by_brute_force(rows, 6)
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), min_words=6).collect()}
+    assert got == want and len(windows) > 50
+    for w in windows:
+        assert any(f" {' '.join(w)} " in f" {t} " for t in got.values())
+
+
+def test_ids_of_any_type_and_texts_that_share_an_id(spark, rng):
+    rows = [(f"doc-{i}", prose(rng, 60)) for i in range(6)]
+    rows += [("doc-8", rows[1][1]), ("doc-9", f"start {rows[2][1]} end"), ("doc-0", prose(rng, 60)), ("doc-0", rows[0][1]), (None, rows[1][1])]
+    docs = spark.createDataFrame([(*r, {"k": 1}) for r in rows], "doc_id string, text string, more map<string,int>")
+    assert {(r["doc_id"], r["group_id"], r["keep"]) for r in simhash.near_duplicate_groups(docs).collect()} >= {("doc-1", "doc-1", True), ("doc-8", "doc-1", False)}
+    near = simhash.drop_near_duplicates(docs)
+    assert near.columns == docs.columns and sorted(str(r["doc_id"]) for r in near.collect()) == ["None", "doc-0", "doc-0", *[f"doc-{i}" for i in (1, 2, 3, 4, 5)]] + (["doc-9"] if near.where("doc_id = 'doc-9'").count() else [])
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in suffix_dedup.repeated_passages(docs).collect()} == {("doc-1", 0, 60), ("doc-8", 0, 60), ("doc-2", 0, 60), ("doc-9", 1, 61)}
+    kept = suffix_dedup.drop_repeated_passages(docs)
+    assert kept.columns == docs.columns and {r["doc_id"]: r["text"] for r in kept.where("doc_id in ('doc-9', 'doc-8')").collect()} == {"doc-9": "start end"} and kept.where("doc_id = 'doc-0'").count() == 2
