@@ -41,8 +41,8 @@ from lexigraph.llm.textops import _LOWER, _WS, U64, RollingHash, Texts, Words, b
 #: Perfect difference sets: every residue is a difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
 MIN_WORDS = 50
-#: Suffixes that a task gathers before it sorts them or sends them on.
-FLUSH = 1_000_000
+#: Cover prefixes that a task gathers before it sends them on, and suffixes of a block.
+FLUSH, BLOCK = 1_000_000, 1 << 18
 #: Bytes of text for each bucket.
 BUCKET_BYTES = 16 << 20
 #: Words of the runs by which suffixes find their bucket.
@@ -323,11 +323,11 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, min_words: int, n:
                 plain = np.where(blank, 32, _LOWER[texts.data])[keep].astype(np.uint8)
                 before = np.append(0, np.cumsum(keep))
                 for a, z in zip(heads.tolist(), tails.tolist()):
-                    for b in range(a, z + 1, FLUSH):
-                        e = min(z, b + FLUSH - 1)
+                    for b in range(a, z + 1, BLOCK):
+                        e = min(z, b + BLOCK - 1)
                         pieces.append((int(ids[lo + text[a]]), int(local[b]), plain[before[words.start[b]] : before[words.end[e + min_words - 1]]]))
                         size += e - b + 1
-                        if size >= FLUSH:
+                        if size >= BLOCK:
                             yield _block(n, pieces, min_words)
                             pieces, size = [], 0
         if size:

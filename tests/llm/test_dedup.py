@@ -215,6 +215,7 @@ def test_a_passage_of_many_documents_sends_one_suffix_a_task():
 @pytest.mark.parametrize("flush", [1, 40])
 def test_repeats_over_many_tasks_and_flushes(spark, rng, monkeypatch, flush):
     monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", flush)
     hot = prose(rng, 15)
     rows = [(i, f"{prose(rng, rng.randrange(9))} {hot if i % 3 else ''} {prose(rng, rng.randrange(9))}") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
