@@ -54,3 +54,49 @@ def test_edge_cases(spark):
     same = spark.createDataFrame(rows_of({i: [2.0, 2.0] for i in range(40)}), SHAPE)
     got = knn.knn_join(same, k=3).collect()
     assert {(r["query_id"], r["neighbor_id"]) for r in got} == {(i, j) for i in range(40) for j in [j for j in range(4) if j != i][:3]}
+
+
+def test_queries_that_are_data_rows_too(spark):
+    v = clustered(4, 300)
+    df = spark.createDataFrame(rows_of(v), SHAPE)
+    asked = {i: x for i, x in v.items() if i % 50 == 0}
+    for group_rows, chunk_rows in ((4096, 32768), (2, 16)):
+        got = result(knn.knn_join(df.where("vec_id % 50 = 0"), df, k=6, exclude_self=True, group_rows=group_rows, chunk_rows=chunk_rows))
+        assert got == brute_force(asked, v, 6, True)
+
+
+def test_one_long_vector_loses_no_row(spark):
+    v = clustered(5, 50)
+    df = spark.createDataFrame(rows_of(v | {99: [1.0] * 7}), SHAPE)
+    got = result(knn.knn_join(df, k=3))
+    assert got == brute_force(v, v, 3, True) and len(got) == 150
+    assert knn.knn_join(df, k=3, dim=7).count() == 0 and knn.knn_join(df, df, k=3, dim=7).count() == 1
+
+
+def test_ids_of_any_type(spark):
+    v = clustered(6, 60)
+    df = spark.createDataFrame([(f"v{i:03}", x) for i, x in v.items()], "vec_id string, embedding array<double>")
+    want = {(f"v{i:03}", f"v{j:03}", n, d) for i, j, n, d in brute_force(v, v, 4, True)}
+    assert result(knn.knn_join(df, k=4)) == want
+    assert result(knn.knn_join(df.where("vec_id < 'v010'"), df, k=4, exclude_self=True)) == {x for x in want if x[0] < "v010"}
+
+
+def test_a_common_offset_changes_no_neighbour():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 8)) * 0.01 + 1e6
+    ids = np.arange(600)
+    zero = np.zeros(600, dtype=np.int64)
+    far = np.full(600, 1e9)
+    got = {}
+    for q, s, d in knn._solve(ids, x, zero, far, far, ids, x, zero, far, 5, np.zeros((1, 1)), True):
+        for a, b in zip(q.tolist(), s.tolist()):
+            got.setdefault(a, []).append(b)
+    for i in range(600):
+        d = np.sqrt(np.square(x[i] - x).sum(axis=1))
+        assert got[i] == [j for j in np.lexsort((ids, d)) if j != i][:5]
+
+
+def test_a_vector_that_a_third_of_all_rows_hold(spark):
+    v = {i: ([1.0, 2.0] if i % 3 == 0 else [float(i % 17), float(i % 23)]) for i in range(300)}
+    df = spark.createDataFrame(rows_of(v), SHAPE)
+    assert result(knn.knn_join(df, k=4, group_rows=64, chunk_rows=50)) == brute_force(v, v, 4, True)
