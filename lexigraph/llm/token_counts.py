@@ -18,17 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigraph.llm import bpe
-from lexigraph.llm.textops import written
+from lexigraph.llm.textops import slices, written
 
-FREQUENT, CACHE, FAN_IN = 20_000, 300_000, 64
+FREQUENT, CACHE, FAN_IN = 20_000, 300_000, 16
 _SUMMARY = "part int, words array<string>, counts array<long>"
 
 
-def _texts(batches, column: int = 0):
-    for batch in batches:
-        yield batch, batch.column(column).fill_null("").to_pylist()
-
-
 def _top(counts: Counter, n: int) -> list[tuple[str, int]]:
     return sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:n]
 
@@ -41,12 +36,14 @@ def frequent_pretokens(docs: DataFrame, size: int = FREQUENT, text_col: str = "t
 
     def summarise(batches):
         counts: Counter = Counter()
-        for _, texts in _texts(batches):
-            for text in texts:
-                counts.update(bpe.pretokens(text))
+        for batch in batches:
+            for _, _, texts in slices(batch.column(0)):
+                words, at, _ = bpe.pretoken_codes(texts)
+                for w, n in zip(words, np.bincount(at, minlength=len(words)).tolist()):
+                    counts[w] += n
                 if len(counts) > 16 * size:
                     counts = Counter(dict(_top(counts, 4 * size)))
-        yield batch_of(TaskContext.get().partitionId(), _top(counts, 4 * size))
+        yield batch_of(TaskContext.get().partitionId(), [(w.decode(), n) for w, n in _top(counts, 4 * size)])
 
     def merge(key, table):
         counts: Counter = Counter()
@@ -71,12 +68,12 @@ def frequent_pretokens(docs: DataFrame, size: int = FREQUENT, text_col: str = "t
 class Lengths(dict):
     """Token counts of pre-tokens: the frequent ones for good, others as they come, forgotten when there are too many."""
 
-    def __init__(self, blob: bytes, frequent: dict[str, int], limit: int):
+    def __init__(self, blob: bytes, frequent: dict[bytes, int], limit: int):
         super().__init__(frequent)
         self.encode, self.frequent, self.limit = bpe.encoding(blob).encode_ordinary, frequent, limit
 
-    def __missing__(self, word: str) -> int:
-        n = len(self.encode(word))
+    def __missing__(self, word: bytes) -> int:
+        n = len(self.encode(word.decode()))
         if len(self) >= self.limit:
             self.clear()
             self.update(self.frequent)
@@ -102,14 +99,12 @@ def token_counts(docs: DataFrame, ranks: str = bpe.RANKS, frequent: int = FREQUE
         if key not in _lengths:
             text, ends, sizes = table.value
             _lengths.clear()
-            _lengths[key] = Lengths(blob.value, {text[a:b].decode(): n for a, b, n in zip([0, *ends.tolist()], ends.tolist(), sizes.tolist())}, max(cache, 2 * len(ends)))
+            _lengths[key] = Lengths(blob.value, {text[a:b]: n for a, b, n in zip([0, *ends.tolist()], ends.tolist(), sizes.tolist())}, max(cache, 2 * len(ends)))
         size = _lengths[key].__getitem__
-        for batch, texts in _texts(batches, 1):
-            tokens, pre = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
-            for k, text in enumerate(texts):
-                found = bpe.pretokens(text)
-                pre[k] = len(found)
-                tokens[k] = sum(map(size, found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens), pa.array(pre)], names=["doc_id", "n_tokens", "n_pretokens"])
+        for batch in batches:
+            for lo, hi, texts in slices(batch.column(1)):
+                words, at, first = bpe.pretoken_codes(texts)
+                tokens = np.append(0, np.cumsum(np.array([size(w) for w in words], dtype=np.int64)[at]))[first]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(tokens)), pa.array(np.diff(first))], names=["doc_id", "n_tokens", "n_pretokens"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_pretokens long")
