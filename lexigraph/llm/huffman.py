@@ -11,26 +11,28 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigraph.llm import bpe
-from lexigraph.llm.textops import list_array, ragged, written
+from lexigraph.llm.textops import list_array, ragged, slices, written
 
 LIMIT, BLOCK = 18, 1024
+#: Bits of a code that the writer of four bytes can shift into place.
+LONGEST = 25
 SLICE_TOKENS = 1 << 20
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Optimal code lengths of at most limit bits for these counts; 0 where a count is 0."""
+    """Optimal code lengths of at most limit bits for these counts; 0 where a count is 0. More symbols than limit bits can tell apart get the bits they need."""
     lengths = np.zeros(len(counts), dtype=np.uint8)
     used = np.flatnonzero(counts)
     n = len(used)
     if n < 2:
         lengths[used] = 1
         return lengths
-    if n > 1 << limit:
-        raise ValueError(f"{n} symbols have no codes of {limit} bits")
+    limit = max(limit, (n - 1).bit_length())
     used = used[np.argsort(counts[used], kind="stable")]
     weight = counts[used].astype(np.int64)
     level, leaves = weight, [np.ones(n, dtype=bool)]
@@ -57,6 +59,8 @@ class Code:
         used = np.flatnonzero(self.lengths)
         used = used[np.lexsort((used, self.lengths[used]))]
         self.limit = max(1, int(self.lengths.max(initial=0)))
+        if self.limit > LONGEST:
+            raise ValueError(f"codes of {self.limit} bits are longer than {LONGEST}")
         width = np.uint64(1) << (self.limit - self.lengths[used]).astype(np.uint64)
         first = np.cumsum(width) - width
         self.codes = np.zeros(len(lengths), dtype=np.uint64)
@@ -98,19 +102,31 @@ class Code:
         marks = place % block == 0
         return [raw[b : b + o] for b, o in zip(base.tolist(), octets.tolist())], bits, offset[marks], -(-count // block)
 
+    def decode_many(self, payloads: list[bytes], starts: np.ndarray, many: np.ndarray, count: np.ndarray, block: int = BLOCK) -> np.ndarray:
+        """The ids of rows of these many checkpoints and ids, end to end; all blocks at once, each from its own checkpoint."""
+        data = np.frombuffer(b"".join(payloads) + bytes(8), dtype=np.uint8)
+        sizes = np.array([len(p) for p in payloads], dtype=np.int64)
+        row, nth = ragged(many)
+        at = starts.astype(np.int64) + 8 * (np.cumsum(sizes) - sizes)[row]
+        left = np.minimum(count[row] - nth * block, block)
+        to = (np.cumsum(count) - count)[row] + nth * block
+        order = np.argsort(-left, kind="stable")
+        at, left, to = at[order], left[order], to[order]
+        out = np.zeros(int(count.sum()), dtype=np.int32)
+        open_ = np.searchsorted(-left, -np.arange(int(left.max(initial=0))), side="left")  # blocks with more than k ids
+        shift = 32 - self.limit
+        for k, n in enumerate(open_.tolist()):
+            spot = at[:n]
+            byte = spot >> 3
+            word = data[byte].astype(np.uint32) << 24 | data[byte + 1].astype(np.uint32) << 16 | data[byte + 2].astype(np.uint32) << 8 | data[byte + 3]
+            peek = (word << (spot & 7).astype(np.uint32)) >> shift
+            out[to[:n] + k] = self.symbol[peek]
+            spot += self.size[peek]
+        return out
+
     def decode(self, payload: bytes, starts: np.ndarray, count: int, block: int = BLOCK) -> np.ndarray:
-        """The count ids of a payload; all its blocks at once, each from its own checkpoint."""
-        data = np.frombuffer(payload + bytes(8), dtype=np.uint8).astype(np.uint64)
-        out = np.zeros((len(starts), block), dtype=np.int32)
-        at = starts.astype(np.int64).copy()
-        last = len(payload) + 4
-        for k in range(min(block, count)):
-            byte = np.minimum(at >> 3, last)
-            word = data[byte] << np.uint64(24) | data[byte + 1] << np.uint64(16) | data[byte + 2] << np.uint64(8) | data[byte + 3]
-            peek = (word << (at & 7).astype(np.uint64) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - self.limit)
-            out[:, k] = self.symbol[peek]
-            at += self.size[peek]
-        return out.reshape(-1)[:count]
+        """The count ids of a payload."""
+        return self.decode_many([payload], starts, np.array([len(starts)]), np.array([count]), block)
 
 
 class Ids:
@@ -121,29 +137,27 @@ class Ids:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[bytes, int] = {}
         self.ids: list[int] = []
         self.ends: list[int] = [0]
         self.seen, self.flat, self.offsets = 0, np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
 
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these pre-tokens end to end, and how many each has."""
+    def __call__(self, words: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pre-tokens that stand at these places of words, end to end, and how many each has."""
         if len(self.number) > self.limit:
             self.clear()
-        at = list(map(self.number.get, words))
-        if None in at:
-            for k, n in enumerate(at):
+        numbers = list(map(self.number.get, words))
+        if None in numbers:
+            for k, n in enumerate(numbers):
                 if n is None:
-                    if (m := self.number.get(words[k])) is None:
-                        m = self.number[words[k]] = len(self.ends) - 1
-                        self.ids += self.encode(words[k])
-                        self.ends.append(len(self.ids))
-                    at[k] = m
+                    numbers[k] = self.number[words[k]] = len(self.ends) - 1
+                    self.ids += self.encode(words[k].decode())
+                    self.ends.append(len(self.ids))
         if self.seen != len(self.ids) or len(self.offsets) != len(self.ends):
             self.flat = np.concatenate([self.flat, np.array(self.ids[self.seen :], dtype=np.int64)])
             self.offsets = np.concatenate([self.offsets, np.array(self.ends[len(self.offsets) :], dtype=np.int64)])
             self.seen = len(self.ids)
-        number = np.array(at, dtype=np.int64)
+        number = np.array(numbers, dtype=np.int64)[at]
         size = self.offsets[number + 1] - self.offsets[number]
         row, place = ragged(size)
         return self.flat[self.offsets[number][row] + place], size
@@ -163,23 +177,14 @@ def token_ids(docs: DataFrame, ranks: str = bpe.RANKS, id_col: str = "doc_id", t
         if key not in _ids:
             _ids[key] = Ids(blob.value, cache)
         ids = _ids[key]
+        w = np.dtype(width).itemsize
         for batch in batches:
-            texts = batch.column(1).fill_null("").to_pylist()
-            lo = 0
-            while lo < len(texts):
-                words, count = [], []
-                hi = lo
-                while hi < len(texts) and len(words) < SLICE_TOKENS // 2:
-                    found = bpe.pretokens(texts[hi])
-                    words += found
-                    count.append(len(found))
-                    hi += 1
-                flat, size = ids(words)
-                ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(count)]
-                raw, begins = flat.astype(width).tobytes(), np.concatenate([[0], ends[:-1]])
-                w = np.dtype(width).itemsize
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ends - begins), pa.array([raw[a * w : b * w] for a, b in zip(begins.tolist(), ends.tolist())], pa.binary())], names=["doc_id", "n_tokens", "ids"])
-                lo = hi
+            for lo, hi, texts in slices(batch.column(1)):
+                words, at, first = bpe.pretoken_codes(texts)
+                flat, size = ids(words, at)
+                ends = np.append(0, np.cumsum(size))[first]
+                raw = flat.astype(width).tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends)), pa.array([raw[a * w : b * w] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
 
@@ -239,20 +244,34 @@ def decode_rows(encoded: DataFrame, code: Code, block: int = BLOCK) -> DataFrame
     def run(batches):
         code = shared.value
         for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))
-            out = [code.decode(payload, np.array(marks, dtype=np.int64), n, block) for n, payload, marks in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(pa.array(np.concatenate([*out, np.zeros(0, np.int32)])), np.array([len(x) for x in out], dtype=np.int64))], names=["doc_id", "ids"])
+            marks = batch.column(3)
+            count, many = batch.column(1).to_numpy(), pa.compute.list_value_length(marks).to_numpy()
+            ids = code.decode_many(batch.column(2).to_pylist(), marks.flatten().to_numpy(), many.astype(np.int64), count, block)
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(pa.array(ids), count)], names=["doc_id", "ids"])
 
     return encoded.select("doc_id", "n_tokens", "payload", "checkpoints").mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def encode_corpus(docs: DataFrame, ranks: str = bpe.RANKS, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """The token ids of each row's text as a Huffman payload, under the code of all rows' ids.
-
-    (doc_id, n_tokens, n_bits, payload, checkpoints); a null or empty text has
-    no token, no bit and an empty payload.  Texts are tokenised once: the ids
-    are written to the shared folder between counting and coding.
+    """The token ids of each row's text as a Huffman payload, under the code of all rows' ids, and the code itself.
+
+    (doc_id, n_tokens, n_bits, payload, checkpoints, code_lengths).  One row
+    more than docs has: the code book, with a null doc_id and in code_lengths
+    one byte for each id from 0 on (0 where an id isn't used), which is all
+    that `decode_corpus` needs; code_lengths is null in every other row.  A
+    null or empty text has no token, no bit and an empty payload.  Texts are
+    tokenised once: the ids are written to the shared folder between counting
+    and coding.
     """
     width = id_width(ranks)
     tokens = written(token_ids(docs, ranks, id_col, text_col))
-    return encode_rows(tokens, build_code(tokens, width, limit), width)
+    code = build_code(tokens, width, limit)
+    rows = encode_rows(tokens, code, width).withColumn("code_lengths", F.lit(None).cast("binary"))
+    book = docs.sparkSession.createDataFrame([(None, 0, 0, b"", [], code.lengths.tobytes())], rows.schema)
+    return rows.unionByName(book)
+
+
+def decode_corpus(encoded: DataFrame) -> DataFrame:
+    """(doc_id, ids) of what encode_corpus returned, from that alone; encoded must be written, as its code book is read first."""
+    book = encoded.where(F.col("code_lengths").isNotNull()).first()
+    return decode_rows(encoded.where(F.col("code_lengths").isNull()), Code(np.frombuffer(book["code_lengths"], dtype=np.uint8)))

@@ -98,7 +98,47 @@ def test_corpus_round_trip(spark, nasty, nothing, encode):
     got = Counter((r["doc_id"], tuple(r["ids"])) for r in huffman.decode_rows(coded, code).collect())
     assert got == Counter((r["doc_id"], tuple(encode(r["text"] or ""))) for r in nasty.collect())
     want = Counter((r["doc_id"], r["n_bits"], bytes(r["payload"])) for r in coded.collect())
-    assert want == Counter((r["doc_id"], r["n_bits"], bytes(r["payload"])) for r in huffman.encode_corpus(nasty).collect())
+    assert want == Counter((r["doc_id"], r["n_bits"], bytes(r["payload"])) for r in huffman.encode_corpus(nasty).where("code_lengths is null").collect())
     book = {r["id"]: r["length"] for r in code.frame(spark).collect()}
     assert sum(2.0**-n for n in book.values()) <= 1 and len(book) == len({i for r in nasty.collect() for i in encode(r["text"] or "")})
-    assert huffman.encode_corpus(nothing).count() == 0 and token_counts.token_counts(nothing).count() == 0
+    assert huffman.encode_corpus(nothing).where("code_lengths is null").count() == 0 and token_counts.token_counts(nothing).count() == 0
+
+
+def test_the_written_result_decodes_by_itself(spark, nasty, nothing, encode, tmp_path):
+    """The query's own result, read back: every row's ids, by nothing but what was written."""
+    from lexigraph.llm import queries
+
+    tables = {"sf": spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "nasty": nasty, "nothing": nothing}
+    for name, docs in tables.items():
+        coded = queries.op8_token_binary(spark, "/root/testdata/sf0.001") if name == "sf" else huffman.encode_corpus(docs)
+        coded.write.parquet(f"{tmp_path}/{name}")
+        got = Counter((r["doc_id"], tuple(r["ids"])) for r in huffman.decode_corpus(spark.read.parquet(f"{tmp_path}/{name}")).collect())
+        assert got == Counter((r["doc_id"], tuple(encode(r["text"] or ""))) for r in docs.collect())
+
+
+def test_limits():
+    assert huffman.code_lengths(np.ones(300, dtype=np.int64), 4).max() == 9  # 300 symbols need nine bits
+    with pytest.raises(ValueError):
+        huffman.Code(np.array([1, 26, 26], dtype=np.uint8))
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 1 << 20, 3000)
+    lengths = np.zeros(1 << 20, dtype=np.uint8)
+    lengths[np.unique(ids)] = huffman.code_lengths(np.bincount(ids)[np.unique(ids)], 25)
+    code = huffman.Code(lengths)
+    payloads, _, marks, _ = code.encode(ids, np.array([3000]), 100)
+    assert (code.decode(payloads[0], marks, 3000, 100) == ids).all()
+
+
+def test_pretokens_without_a_regular_expression(rng):
+    import pyarrow as pa
+
+    from lexigraph.llm.textops import slices
+
+    parts = ["don't", " we'll", "'s", "'ve", "'", "'l", " '", "A1", "_x", " é", "ÿ", "  ", " ", "\n\n", "\t", "12", " !?", "ª", "日本", "𝒳", "\u3000", "\x1c", "\x00", ""]
+    texts = ["".join(x) for x in product(parts, repeat=3)] + ["".join(rng.choice("a's tlver\n 1é.'") for _ in range(rng.randrange(40))) for _ in range(3000)]
+    for some in (texts, [""], ["", ""], ["'"], ["x'", "s"], ["'", "s"]):
+        part = next(slices(pa.array(some), 1 << 40))[2]
+        offsets, first = bpe.pretoken_offsets(part)
+        words, at, same = bpe.pretoken_codes(part)
+        assert [words[k].decode() for k in at] == [w for t in some for w in bpe._exact(t)] and (first == same).all()
+        assert np.diff(first).tolist() == [len(bpe._exact(t)) for t in some] and offsets[-1] == len(part.data)
