@@ -494,3 +494,6 @@ def turtle_rows(spark, d):
     immediate = graph.immediate_ety(edges_of(spark, d)).withColumn("mode", F.lit(None).cast("string"))
     none = spark.createDataFrame([], "item_id long, items array<long>, head long")
     return sinks.turtle_blocks(rec, items.select("item_id", F.lit(None).cast("string").alias("page_term")), immediate, none)
+
+
+from lexigraph.plans import parser_queries  # noqa: E402, F401  its queries register here
