@@ -45,12 +45,16 @@ def chain_similarity(chain: Column, candidate: Column) -> Column:
     return F.when(empty(candidate) | (total["weight"] <= 0), F.lit(0.0)).otherwise(total["sum"] / total["weight"])
 
 
-def best_candidate(candidates: Column) -> Column:
-    """Of an array of structs (id, similarity) the best: at least 0, not a number counts as 0, the first wins ties."""
-    value = lambda x: F.greatest(F.nanvl(x["similarity"], F.lit(0.0)), F.lit(0.0))
-    start = F.struct(F.get(candidates, 0)["id"].alias("id"), F.lit(0.0).alias("similarity"))
-    best = F.aggregate(candidates, start, lambda acc, x: F.when(value(x) > acc["similarity"], F.struct(x["id"].alias("id"), value(x).alias("similarity"))).otherwise(acc))
-    return F.when(F.size(candidates) > 0, best)
+def unit(a: Column) -> Column:
+    """A vector as doubles, divided by its length; the cosine of two such is their dot product. Not numbers if it is all zeros."""
+    size = F.sqrt(dot(a, a))
+    return F.transform(a.cast("array<double>"), lambda x: F.when(size == 0, F.lit(float("nan"))).otherwise(x / size))
+
+
+def best_candidate(id: Column, similarity: Column) -> Column:
+    """An aggregate: struct(id, similarity) of the best of a group, at least 0; not a number counts as 0, and the lowest id wins ties. No group is gathered."""
+    value = F.greatest(F.nanvl(similarity, F.lit(0.0)), F.lit(0.0))
+    return F.max_by(F.struct(id.alias("id"), value.alias("similarity")), F.struct(value, -id))
 
 
 def lang_distance(a: Column, b: Column) -> Column:

@@ -17,15 +17,24 @@ from pyspark.sql import functions as F
 from lexigraph.runtime import materialize
 
 
-def child_edges(edges: DataFrame, parent: int) -> DataFrame:
-    return edges.where(F.col("parent") == parent)
+def child_edges(edges: DataFrame, parents: DataFrame) -> DataFrame:
+    """The edges to children of these items (column id)."""
+    return edges.join(parents.select(F.col("id").alias("parent")).distinct(), "parent", "left_semi").select(*edges.columns)
 
 
-def parent_edges(edges: DataFrame, child: int) -> DataFrame:
-    return edges.where(F.col("child") == child)
+def parent_edges(edges: DataFrame, children: DataFrame) -> DataFrame:
+    """The edges to parents of these items (column id)."""
+    return edges.join(children.select(F.col("id").alias("child")).distinct(), "child", "left_semi").select(*edges.columns)
 
 
-def recurse(anchor: DataFrame, step: DataFrame, on: str, carried: list[str], max_depth: int = 1000) -> DataFrame:
+def with_ends(edges: DataFrame, items: DataFrame, *columns: str) -> DataFrame:
+    """edges with these columns of the items at both ends, as child_ and parent_."""
+    for end in ("child", "parent"):
+        edges = edges.join(items.select(F.col("item_id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns]), end)
+    return edges
+
+
+def recurse(anchor: DataFrame, step: DataFrame, on: str, carried: list[str], max_depth: int = 1_000_000) -> DataFrame:
     """anchor and all rows that follow from it: `carried` are SQL expressions over t (a row so far) and e (a step row), one for each column of anchor.
 
     One declarative recursive query; step is written once, so rounds scan a file
@@ -87,35 +96,50 @@ def progenitors(edges: DataFrame, starts: DataFrame | None = None, dedupe: bool
 
     An item some ancestor of which is reached twice has none, as when two
     parents share a root; with dedupe it has its distinct ones.
+
+    Two ways to an ancestor are two ways to whatever it comes from, so it is
+    enough to count ways to the ends.  Items with one parent have what the end
+    of their chain has, found by doubling pointers; only forks, which have
+    several, are walked, from fork to fork.
     """
     step = materialize(edges.select("child", "parent"))
-    inner = step.select(F.col("child").alias("at"), F.lit(True).alias("inner")).distinct()
-    seeds = inner.select(F.col("at").alias("root"))
+    ways = step.groupBy("child").agg(F.count("*").alias("ways"), F.max("parent").alias("parent"))
+    hops = materialize(ways.where("ways = 1").select(F.col("child").alias("item_id"), F.col("parent").alias("at")))
+    while True:
+        ahead = hops.select(F.col("item_id").alias("at"), F.col("at").alias("beyond"))
+        jumped = materialize(hops.join(ahead, "at", "left").select("item_id", F.coalesce("beyond", "at").alias("at"), F.col("beyond").isNotNull().alias("moved")))
+        hops = jumped.select("item_id", "at")
+        if jumped.where("moved").isEmpty():
+            break
+    split = materialize(ways.where("ways > 1").select(F.col("child").alias("fork")))
+    forks = materialize(step.join(split, step["child"] == split["fork"]).join(hops, step["parent"] == hops["item_id"], "left").select("fork", F.coalesce("at", "parent").alias("to")))
+    seeds = step.select(F.col("child").alias("root")).distinct()
     if starts is not None:
-        seeds = starts.select(F.col("id").alias("root")).join(seeds, "root", "left_semi")
-    frontier = seeds.select("root", F.col("root").alias("at"))
+        seeds = starts.select(F.col("id").alias("root")).distinct().join(seeds, "root", "left_semi")
+    is_fork = split.select(F.col("fork").alias("at"), F.lit(True).alias("inner"))
+    own = materialize(seeds.join(hops, seeds["root"] == hops["item_id"], "left").select(F.col("root").alias("own_id"), F.coalesce("at", "root").alias("at")).join(is_fork, "at", "left"))
+    frontier = own.where("inner").select(F.col("at").alias("root"), "at", F.lit(1).cast("long").alias("n")).distinct()
     levels: list[DataFrame] = []
     while True:
-        # one written table a level: what is reached, whether for the second time, and whether it goes on
-        found = frontier.join(step, frontier["at"] == step["child"]).groupBy("root", F.col("parent").alias("at")).agg(F.count("*").alias("n"))
-        seen = frontier.limit(0)
-        for level in levels:
-            seen = seen.unionByName(level.where("fresh").select("root", "at"))
-        found = found.join(seen.withColumn("again", F.lit(True)), ["root", "at"], "left").join(inner, "at", "left")
-        fresh = F.col("again").isNull() if dedupe else F.lit(True)
-        found = materialize(found.select("root", "at", fresh.alias("fresh"), (~F.lit(dedupe) & ((F.col("n") > 1) | F.col("again").isNotNull())).alias("bad"), F.col("inner").isNotNull().alias("inner")))
+        found = frontier.join(forks, frontier["at"] == forks["fork"]).groupBy("root", F.col("to").alias("at")).agg(F.lit(1).cast("long").alias("n") if dedupe else F.least(F.sum("n"), F.lit(2)).alias("n"))
+        found = materialize(found.join(is_fork, "at", "left").select("root", "at", "n", F.col("inner").isNotNull().alias("inner")))
         if found.isEmpty():
             break
         levels.append(found)
-        frontier = found.where("fresh and inner").join(found.where("bad").select("root").distinct(), "root", "left_anti").select("root", "at")
-    if not levels:
-        return seeds.select(F.col("root").alias("item_id"), F.array().cast("array<bigint>").alias("items"), F.lit(None).cast("long").alias("head")).limit(0)
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    rows = every.where("fresh and not inner").join(every.where("bad").select("root").distinct(), "root", "left_anti")
-    sets = rows.groupBy(F.col("root").alias("item_id")).agg(F.sort_array(F.collect_set("at")).alias("items"))
-    return sets.join(head_chains(edges), "item_id", "left").select("item_id", "items", "head")
+        frontier = found.where("inner").join(found.where("n > 1").select("root").distinct(), "root", "left_anti").select("root", "at", "n")
+    plain = own.where("inner is null").select(F.col("own_id").alias("item_id"), F.array("at").alias("items"))
+    if levels:
+        every = levels[0]
+        for level in levels[1:]:
+            every = every.unionByName(level)
+        ends = every.where("not inner").groupBy("root", "at").agg(F.sum("n").alias("n"))
+        twice = F.lit(False) if dedupe else F.max("n") > 1
+        bad = every.where("n > 1").select("root").distinct()
+        sets = ends.groupBy("root").agg(F.sort_array(F.collect_set("at")).alias("items"), twice.alias("twice")).where("not twice")
+        if not dedupe:
+            sets = sets.join(bad, "root", "left_anti")
+        plain = plain.unionByName(own.where("inner").join(sets, own["at"] == sets["root"]).select(F.col("own_id").alias("item_id"), "items"))
+    return plain.join(head_chains(edges), "item_id", "left").select("item_id", "items", "head")
 
 
 def descendant_langs(edges: DataFrame, items: DataFrame) -> DataFrame:

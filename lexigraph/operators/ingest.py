@@ -69,7 +69,17 @@ def entries(parsed: DataFrame, langs: Langs) -> DataFrame:
         is_reconstructed("v").alias("is_reconstructed"),
         "v",
     )
-    return rows.dropna(subset=["page_term", "term", "pos", "gloss"]).join(F.broadcast(langs.codes), "code").drop("code")
+    return admissible(rows).join(F.broadcast(langs.codes), "code").drop("code")
+
+
+def admissible(rows: DataFrame) -> DataFrame:
+    """The entries that have a page, a term, a part of speech and a gloss."""
+    return rows.dropna(subset=["page_term", "term", "pos", "gloss"])
+
+
+def ignored(title: str) -> Column:
+    """Whether a title is in a namespace that is no dictionary."""
+    return F.col(title).contains(":") & F.substring_index(title, ":", 1).isin(*NAMESPACES)
 
 
 _ITEM = "struct<ety_num:int,line_no:bigint,lines:array<bigint>,pos:array<string>,gloss:array<string>,page_term:string,romanization:string,is_reconstructed:boolean>"
@@ -120,7 +130,7 @@ def read_redirects(parsed: DataFrame, langs: Langs) -> tuple[DataFrame, DataFram
     """
     rows = parsed.where("is_redirect").select("line_no", valid(strict_string(field("v", "title"))).alias("title"), valid(strict_string(field("v", "redirect"))).alias("target")).dropna()
     for c in ("title", "target"):
-        rows = rows.where(~(F.col(c).contains(":") & F.substring_index(c, ":", 1).isin(*NAMESPACES)))
+        rows = rows.where(~ignored(c))
     for c in ("title", "target"):
         names = F.broadcast(langs.names.select(F.col("name").alias(f"{c}_name"), F.col("lang_id").alias(f"{c}_lang")))
         rows = rows.withColumn(f"{c}_r", reconstruction_title(F.col(c))).join(names, F.col(f"{c}_r.lang_name") == F.col(f"{c}_name"), "left")

@@ -114,17 +114,36 @@ def collapse_langs(edges: DataFrame, items: DataFrame, roots: DataFrame) -> Data
     return recurse(first, step, "t.item_id = e.parent", carried).where("kept").drop("kept")
 
 
+def sort_etymology(tree: DataFrame) -> DataFrame:
+    """tree with `place` among siblings: the last in order first."""
+    siblings = Window.partitionBy("root", F.slice("path", 1, F.size("path") - 1)).orderBy(F.desc("ety_order"), "item_id")
+    return tree.withColumn("place", F.row_number().over(siblings))
+
+
 def sort_descendants(tree: DataFrame, items: DataFrame, selected: int) -> DataFrame:
-    """tree with `height`, `leaves` and `place` among siblings: those above the selected item last, then by height, leaves and term (descending)."""
+    """tree with `height`, `leaves` and `place` among siblings: those above the selected item last, then by height, leaves and term (descending).
+
+    Each node tells all nodes on its path, so the work follows nodes times depth.
+    """
     rows = materialize(tree)
-    ends = rows.select("root", F.col("path").alias("low"), F.size("path").alias("n"), F.col("item_id").alias("end"))
-    above = rows.select("root", "path").join(ends, "root").where(F.slice("low", 1, F.size("path")) == F.col("path"))
-    leaf = rows.select("root", F.slice("path", 1, F.size("path") - 1).alias("low")).distinct().withColumn("inner", F.lit(1))
-    above = above.join(leaf, ["root", "low"], "left")
-    measured = above.groupBy("root", "path").agg((F.max("n") - F.size(F.first("path"))).alias("height"), F.sum(F.col("inner").isNull().cast("int")).alias("leaves"), F.max(F.col("end") == selected).alias("holds"))
-    joined = rows.join(measured, ["root", "path"]).join(items.select("item_id", "term"), "item_id", "left")
-    siblings = Window.partitionBy("root", F.slice("path", 1, F.size("path") - 1)).orderBy("holds", "height", "leaves", F.col("term").desc(), F.element_at("path", -1))
-    return joined.withColumn("place", F.row_number().over(siblings)).drop("holds", "term")
+    inner = rows.select("root", F.slice("path", 1, F.size("path") - 1).alias("path")).distinct().withColumn("inner", F.lit(1))
+    ends = rows.select("root", "path", "item_id").join(inner, ["root", "path"], "left").select("root", F.size("path").alias("n"), F.col("item_id").alias("end"), F.col("inner").isNull().cast("int").alias("leaf"), F.col("path").alias("whole"), F.explode(F.sequence(F.lit(1), F.size("path"))).alias("k"))
+    measured = ends.groupBy("root", F.expr("slice(whole, 1, k)").alias("path")).agg((F.max("n") - F.max("k")).alias("height"), F.sum("leaf").alias("leaves"), F.max(F.col("end") == selected).alias("holds"))
+    joined = rows.join(measured, ["root", "path"]).join(items.select("item_id", F.col("term").alias("own_term")), "item_id", "left")
+    siblings = Window.partitionBy("root", F.slice("path", 1, F.size("path") - 1)).orderBy("holds", "height", "leaves", F.col("own_term").desc(), F.element_at("path", -1))
+    return joined.withColumn("place", F.row_number().over(siblings)).drop("holds", "own_term")
+
+
+def find_item(tree: DataFrame, item: int) -> DataFrame:
+    """The first row of an item in each tree, by depth and then path; none where it isn't there."""
+    nth = F.row_number().over(Window.partitionBy("root").orderBy(F.size("path"), "path"))
+    return tree.where(F.col("item_id") == item).withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+
+def tree_langs(tree: DataFrame, items: DataFrame, langs: DataFrame) -> DataFrame:
+    """(root, lang_id, name), distinct: the languages of the items of each tree."""
+    rows = tree.select("root", "item_id").join(items.select("item_id", "lang_id"), "item_id").select("root", "lang_id").distinct()
+    return rows.join(F.broadcast(langs.select("lang_id", "name")), "lang_id").select("root", "lang_id", "name")
 
 
 def ety_line(edges: DataFrame, items: DataFrame, langs: DataFrame) -> DataFrame:
@@ -161,10 +180,10 @@ def build_path(kind: str, item: int, dist_lang: int | None = None, desc_langs: l
 
 
 def to_json(rows: DataFrame, children: str) -> list[dict]:
-    """Nested nodes from flat tree rows (path, and `node`, a JSON string); `children` is the key for what hangs below. Collects one tree."""
+    """Nested nodes from flat tree rows (path, place among siblings, and `node`, a JSON string); `children` is the key for what hangs below. Collects one tree."""
     nodes: dict[tuple, dict] = {}
     tops = []
-    for r in sorted(rows.select("root", "path", "node").collect(), key=lambda r: (r["root"], len(r["path"]))):
+    for r in sorted(rows.select("root", "path", "place", "node").collect(), key=lambda r: (r["root"], len(r["path"]), r["place"])):
         node = json.loads(r["node"]) | {children: []}
         key = (r["root"], *r["path"])
         nodes[key] = node
@@ -175,11 +194,11 @@ def to_json(rows: DataFrame, children: str) -> list[dict]:
 def etymology_nodes(edges: DataFrame, items: DataFrame, langs: DataFrame, item: int) -> DataFrame:
     """The etymology tree of an item with node, the JSON of each row but its parents."""
     spark = edges.sparkSession
-    tree = etymology_tree(edges, spark.createDataFrame([(item,)], "id long"))
+    tree = sort_etymology(etymology_tree(edges, spark.createDataFrame([(item,)], "id long")))
     own = items.where(F.col("item_id") == item).select(F.col("lang_id").alias("own"))
     rows = with_distance(tree.crossJoin(F.broadcast(own)), items, langs, F.col("own")).join(own_modes(edges), "item_id", "left")
     rec = item_records(items, langs)
-    return rows.join(rec, rows["item_id"] == rec["id"]).withColumn("node", F.to_json(F.struct(F.struct(*rec.columns).alias("item"), F.col("ety_mode").alias("etyMode"), F.col("ety_order").alias("etyOrder"), F.col("lang_distance").alias("langDistance")), {"ignoreNullFields": "false"})).select("root", "path", "depth", "item_id", "tree_child", "ety_order", "ety_mode", "lang_distance", "node")
+    return rows.join(rec, rows["item_id"] == rec["id"]).withColumn("node", F.to_json(F.struct(F.struct(*rec.columns).alias("item"), F.col("ety_mode").alias("etyMode"), F.col("ety_order").alias("etyOrder"), F.col("lang_distance").alias("langDistance")), {"ignoreNullFields": "false"})).select("root", "path", "depth", "item_id", "tree_child", "ety_order", "ety_mode", "lang_distance", "place", "node")
 
 
 def descendants_nodes(edges: DataFrame, items: DataFrame, langs: DataFrame, below: DataFrame | None, kind: str, item: int, dist_lang: int | None, desc_langs: list[int]) -> DataFrame:
@@ -192,7 +211,7 @@ def descendants_nodes(edges: DataFrame, items: DataFrame, langs: DataFrame, belo
     open_items = ancestors_in_langs(edges, items, start, desc_langs).select("id")
     admissible = admissible_edges(edges, items, below, desc_langs, open_items)
     tree = descendants_tree(admissible, start) if kind == "descendants" else cognates_tree(edges, admissible, start).drop("of")
-    tree = materialize(tree)
+    tree = materialize(sort_descendants(tree, items, item))
     own = items.where(F.col("item_id") == item).select(F.coalesce(F.lit(dist_lang), F.col("lang_id")).alias("own"))
     rec = materialize(item_records(items, langs))
     shown = F.struct(*[F.col(c) for c in rec.columns])
@@ -203,4 +222,4 @@ def descendants_nodes(edges: DataFrame, items: DataFrame, langs: DataFrame, belo
     joined = rows.join(others, ["root", "path"], "left").join(rec, rows["item_id"] == rec["id"])
     empty = F.array().cast(others.schema["otherParents"].dataType)
     node = F.struct(shown.alias("item"), F.col("lang_distance").alias("langDistance"), F.col("ety_mode").alias("etyMode"), F.coalesce("otherParents", empty).alias("otherParents"), F.col("parent_ety_order").alias("parentEtyOrder"))
-    return joined.withColumn("node", F.to_json(node, {"ignoreNullFields": "false"})).select("root", "path", "depth", "item_id", "tree_parent", "parent_ety_order", "ety_mode", "lang_distance", "node")
+    return joined.withColumn("node", F.to_json(node, {"ignoreNullFields": "false"})).select("root", "path", "depth", "item_id", "tree_parent", "parent_ety_order", "ety_mode", "lang_distance", "place", "node")

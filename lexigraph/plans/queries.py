@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigraph.functions import modes, text, vectors
-from lexigraph.operators import graph, ingest, link, search, trees
+from lexigraph.operators import encoder, graph, ingest, link, search, trees
 from lexigraph.plans import server
-from lexigraph.runtime import materialize, ship, small
+from lexigraph.runtime import materialize, shared_dir, ship
 from lexigraph.sources import dump, sinks
 from lexigraph.sources.langs import Langs, with_lang
 
@@ -124,15 +124,15 @@ def admissible_items(spark, d):
     s = F.col("p_size")
     page = F.when(s % 7 == 0, F.lit(None)).when(s % 7 == 1, F.concat("p_name", F.lit(","))).otherwise(F.col("p_name"))
     pos = F.element_at(F.array(*map(F.lit, ("noun", "phrase", "prep_phrase", "unheard", "verb"))), s % 5 + 1)
-    rows = table(spark, d, "part").select("p_partkey", ingest.no_comma(text.valid(page)).alias("page"), modes.known_pos(pos).alias("pos"), F.nullif("p_brand", F.lit("Brand#11")).alias("gloss"))
-    return rows.dropna(subset=["page", "pos", "gloss"])
+    rows = table(spark, d, "part").select("p_partkey", ingest.no_comma(text.valid(page)).alias("page_term"), F.col("p_name").alias("term"), modes.known_pos(pos).alias("pos"), F.nullif("p_brand", F.lit("Brand#11")).alias("gloss"))
+    return ingest.admissible(rows).select("p_partkey", F.col("page_term").alias("page"), "pos", "gloss")
 
 
 @query("SELECT page_id, url FROM (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN 'Category:' WHEN 1 THEN 'Help:' WHEN 2 THEN 'Categories:' ELSE '' END || url AS t FROM pages) WHERE NOT (t LIKE '%:%' AND split_part(t, ':', 1) IN ('Index', 'Help', 'MediaWiki', 'Citations', 'Concordance', 'Rhymes', 'Thread', 'Summary', 'File', 'Transwiki', 'Category', 'Appendix', 'Wiktionary', 'Thesaurus', 'Module', 'Template'))")
 def namespace_blacklist(spark, d):
     k = F.col("page_id") % 4
     t = F.concat(F.when(k == 0, "Category:").when(k == 1, "Help:").when(k == 2, "Categories:").otherwise(""), F.col("url"))
-    return table(spark, d, "pages").withColumn("t", t).where(~(F.col("t").contains(":") & F.substring_index("t", ":", 1).isin(*ingest.NAMESPACES))).select("page_id", "url")
+    return table(spark, d, "pages").withColumn("t", t).where(~ingest.ignored("t")).select("page_id", "url")
 
 
 @query("SELECT p_partkey, [CASE m WHEN 'mention' THEN 'derived' WHEN 'suffix' THEN 'suffixation' ELSE m END][1] AS noun, CASE m WHEN 'root' THEN ' reflex of ' WHEN 'surface analysis' THEN ': ' WHEN 'suffix' THEN ' of ' WHEN 'calque' THEN ' of ' ELSE ' from ' END AS prep, CASE WHEN dist IS NULL THEN '#696969' WHEN dist > 12 THEN '#730138' ELSE ['#2F2E7A', '#0B3577', '#143867', '#0D3D4D', '#06412C', '#004300', '#224000', '#493500', '#672001', '#740A16', '#740549', '#730138'][dist + 1] END AS colour FROM (SELECT p_partkey, ['mention', 'suffix', 'root', 'surface analysis', 'calque', 'inherited'][p_size % 6 + 1] AS m, nullif(p_size % 16, 15) AS dist FROM part)")
@@ -179,29 +179,75 @@ def candidate_fallback_join(spark, d):
     return found.select("lang_id", "term", F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))).alias("ids"))
 
 
-@query("SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey)::INTEGER AS num FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+@query(f"""WITH {_ITEMS}, a AS (SELECT item_id, lang_id, page_term AS term FROM items WHERE ety_num % 3 = 0), n AS (SELECT *, (SELECT max(item_id) FROM items) + row_number() OVER (ORDER BY item_id) AS id FROM a)
+SELECT item_id AS child, id AS parent, lang_id, term, (row_number() OVER (PARTITION BY lang_id, term ORDER BY id) + CASE WHEN term = 'Brand#11' THEN 7 ELSE 0 END)::INTEGER AS ety_num FROM n""")
 def impute_missing(spark, d):
-    known = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    missing = table(spark, d, "orders").join(small(known), "o_custkey", "left_anti")
-    return missing.select("o_orderkey", "o_orderpriority", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")).alias("num"))
+    items = items_of(spark, d).select("item_id", "lang_id", "term", "ety_num", "is_imputed")
+    # of one term seven items were imputed before
+    earlier = spark.createDataFrame([(-1 - k, k, "Brand#11", 7, True) for k in range(6)], items.schema)
+    asked = items_of(spark, d).where("ety_num % 3 = 0").select("item_id", "lang_id", "page_term")
+    none = F.lit(None)
+    part = F.struct(none.cast("long").alias("id"), F.lit(0).alias("seq"), F.lit(0.0).alias("confidence"))
+    new = F.struct(F.lit(0).alias("seq"), "lang_id", F.col("page_term").alias("term"))
+    row = lambda seq, child, parents, imputed: asked.select("item_id", F.lit(seq).alias("seq"), child.cast("long").alias("child_id"), none.cast("int").alias("child_seq"), F.lit("derived").alias("mode"), F.lit(0).alias("head"), parents.alias("parents"), imputed.alias("imputed"))
+    links = row(0, F.col("item_id"), F.array(part), F.array().cast("array<struct<seq:int,lang_id:int,term:string>>")).unionByName(row(-1, none, F.array().cast("array<struct<id:bigint,seq:int,confidence:double>>"), F.array(new)))
+    grown, claimed = link.impute(items.unionByName(earlier), links)
+    ends = claimed.select("child", F.get("parents", 0)["id"].alias("parent"))
+    return ends.join(grown, ends["parent"] == grown["item_id"]).select("child", "parent", "lang_id", "term", "ety_num")
+
+
+@query("SELECT p_partkey AS line_no, md5('{\"lang_code\":\"' || p_type || '\",\"word\":\"' || p_name || '\",\"n\":' || p_size || '}') AS line FROM part p WHERE EXISTS (SELECT 1 FROM part r WHERE r.p_type = p.p_type AND r.p_name = p.p_name AND r.p_size % 9 = 0)")
+def semi_join_extract(spark, d):
+    rows = table(spark, d, "part")
+    lines = rows.select(F.col("p_partkey").alias("line_no"), F.to_json(F.struct(F.col("p_type").alias("lang_code"), F.col("p_name").alias("word"), F.col("p_size").alias("n"))).alias("raw"))
+    asked = rows.where("p_size % 9 = 0").select(F.col("p_type").alias("lang"), F.col("p_name").alias("term"))
+    return dump.requested_lines(lines, asked).select("line_no", F.md5("raw").alias("line"))
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)")
-def semi_join_extract(spark, d):
-    wanted = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, d, "orders").join(small(wanted), "o_custkey", "left_semi").select("o_orderkey", "o_custkey", "o_totalprice")
+@query("SELECT count(*) AS n_lines, count(*) FILTER (WHERE event_id % 7 <> 0) AS n_records FROM events")
+def count_records(spark, d):
+    return dump.count_records(table(spark, d, "events").select(F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props")).alias("raw")))
 
 
-@query("SELECT doc_id, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+@query("WITH t AS (SELECT p_name AS text FROM part UNION SELECT p_type || ' ' || p_brand FROM part) SELECT text, 1::BIGINT AS n_cached, 64 AS size FROM t")
 def cache_miss_anti_join(spark, d):
-    return table(spark, d, "documents").join(small(table(spark, d, "labels").select("doc_id")), "doc_id", "left_anti").select("doc_id", "n_chars")
+    """Encodes the texts of half the items, then of all: the cache gets each text once."""
+    cache = shared_dir(spark)
+    texts = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("ety_text"), F.concat_ws(" ", "p_type", "p_brand").alias("gloss_text"))
+    encoder.vectors_of(texts.where("item_id % 2 = 0"), cache)
+    vectors_ = encoder.vectors_of(texts, cache)
+    known = spark.read.parquet(cache).groupBy("hash").agg(F.count("*").alias("n_cached"), F.max(F.size("vec")).alias("size"))
+    said = texts.join(vectors_, "item_id", "left_semi").select(F.explode(F.array("ety_text", "gloss_text")).alias("text")).distinct()
+    return said.join(known, F.xxhash64("text") == F.col("hash"), "left").select("text", "n_cached", "size")
+
+
+_V2 = "c AS (SELECT count(*) AS many FROM embeddings), w AS (SELECT item_id, items.lang_id, term, e.embedding::DOUBLE[] AS e, CASE WHEN items.lang_id % 3 > 0 THEN items.lang_id - 1 ELSE (items.lang_id + 1) % 6 END AS to_lang FROM items JOIN embeddings e ON e.vec_id = item_id % (SELECT many FROM c))"
+
+
+@query(f"""WITH {_ITEMS}, {_V2}, p AS (SELECT a.item_id, a.lang_id, b.item_id AS other, greatest(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 0) AS s FROM w a LEFT JOIN w b ON b.lang_id = a.to_lang AND b.term = a.term),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 12) DESC, other) AS n FROM p)
+SELECT item_id, coalesce(other, -1) AS parent, round(coalesce(s, 0), 6) AS confidence FROM r WHERE n = 1 AND (other IS NOT NULL OR lang_id % 3 > 0)""")
+def link_etymologies(spark, d):
+    """Each item comes from one of the items of its term in another language, the one most like it; without any it is linked to an imputed one if languages descend."""
+    items, langs = items_of(spark, d), Langs(langs_of(spark), None, None)
+    many = table(spark, d, "embeddings").count()
+    vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").cast("array<float>").alias("gloss"))
+    vecs = materialize(items.select("item_id", (F.col("item_id") % many).alias("_v")).join(vec, "_v").select("item_id", F.lit(None).cast("array<float>").alias("ety"), "gloss"))
+    to_lang = F.when(F.col("lang_id") % 3 > 0, F.col("lang_id") - 1).otherwise((F.col("lang_id") + 1) % 6)
+    one = F.struct(F.lit(0).alias("nth"), F.lit(True).alias("ok"), F.lit("derived").alias("mode"), F.lit(0).alias("head"), F.array(F.struct(to_lang.alias("lang_id"), "term")).alias("terms"))
+    ety = items.select("item_id", F.array(one).alias("claims"))
+    none = spark.createDataFrame([], "lang_id int, term string, to_lang_id int, to_term string")
+    asked = ety.select(F.explode("claims").alias("c")).select(F.explode("c.terms").alias("t")).select("t.*")
+    found = link.with_vectors(link.candidates(asked, items, langs, none, none.select("term", "to_term")), vecs)
+    links = link.etymology_links(items, ety, found, vecs, langs).where("seq >= 0")
+    first = F.get("parents", 0)
+    return links.select("item_id", F.coalesce(first["id"], F.lit(-1)).alias("parent"), F.round(first["confidence"], 6).alias("confidence"))
 
 
 @query(f"WITH {_ITEMS}, {_EDGES} SELECT e.child, e.parent, e.ord, c.term AS child_term, p.term AS parent_term, p.lang_id AS parent_lang FROM edges e JOIN items c ON c.item_id = e.child JOIN items p ON p.item_id = e.parent")
 def edge_attributes(spark, d):
-    i = items_of(spark, d)
-    rows = edges_of(spark, d).join(i.select(F.col("item_id").alias("child"), F.col("term").alias("child_term")), "child").join(i.select(F.col("item_id").alias("parent"), F.col("term").alias("parent_term"), F.col("lang_id").alias("parent_lang")), "parent")
-    return rows.select("child", "parent", "ord", "child_term", "parent_term", "parent_lang")
+    rows = graph.with_ends(edges_of(spark, d), items_of(spark, d), "term", "lang_id")
+    return rows.select("child", "parent", "ord", "child_term", "parent_term", F.col("parent_lang_id").alias("parent_lang"))
 
 
 # ---- aggregations
@@ -238,10 +284,9 @@ def immediate_ety(spark, d):
     return rows.select("item_id", F.concat_ws(",", F.transform("parents", lambda x: x.cast("string"))).alias("parents"), "head", "mode")
 
 
-@query("SELECT lower(replace(lang || '-(X)', '-', ' ')).replace('(', '').replace(')', '') AS norm, count(*) AS n_items, arg_min(lang, doc_id) AS first_lang FROM documents GROUP BY 1")
+@query(f"WITH {_ITEMS} SELECT 'lang ' || lang_id AS norm, lang_id, 'Lang ' || lang_id AS name, count(*) AS n_items FROM items GROUP BY lang_id")
 def items_per_lang(spark, d):
-    norm = text.normalize_name(F.concat("lang", F.lit("-(X)")))
-    return table(spark, d, "documents").groupBy(norm.alias("norm")).agg(F.count("*").alias("n_items"), F.min_by("lang", "doc_id").alias("first_lang"))
+    return search.lang_index(items_of(spark, d), langs_of(spark))
 
 
 @query("SELECT DISTINCT lang, pos, term FROM (SELECT p_brand AS lang, unnest([p_type, p_name]) AS pos, p_name AS term FROM part)")
@@ -260,12 +305,12 @@ _V = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 
 @query(f"WITH {_V}, p AS (SELECT a.vec_id, b.vec_id AS other, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) AS s FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY greatest(s, 0) DESC, other) AS n FROM p) SELECT vec_id, other AS best, round(greatest(s, 0), 6) AS similarity FROM r WHERE n = 1")
 def argmax_similarity(spark, d):
-    v = table(spark, d, "embeddings")
-    other = v.select("label", F.col("vec_id").alias("other"), F.col("embedding").alias("e"))
-    rows = v.join(other, "label").where("vec_id <> other").select("vec_id", F.struct(F.col("other").alias("id"), vectors.cosine(F.col("embedding"), F.col("e")).alias("similarity")).alias("c"))
-    # the best of each partition first: a candidate list is never longer than it must be
-    value = F.greatest(F.nanvl("c.similarity", F.lit(0.0)), F.lit(0.0))
-    return rows.groupBy("vec_id").agg(F.max_by(F.struct("c.id", value.alias("s")), F.struct(value, -F.col("c.id"))).alias("b")).select("vec_id", F.col("b.id").alias("best"), F.round("b.s", 6).alias("similarity"))
+    v = materialize(table(spark, d, "embeddings").select("vec_id", "label", vectors.unit(F.col("embedding")).alias("e")))
+    other = v.select("label", F.col("vec_id").alias("other"), F.col("e").alias("f"))
+    rows = v.join(other, "label").where("vec_id <> other")
+    # the best of each partition first: no list of candidates is gathered
+    best = rows.groupBy("vec_id").agg(vectors.best_candidate(F.col("other"), vectors.dot(F.col("e"), F.col("f"))).alias("b"))
+    return best.select("vec_id", F.col("b.id").alias("best"), F.round("b.similarity", 6).alias("similarity"))
 
 
 def _shifted(v: DataFrame, by: int, name: str) -> DataFrame:
@@ -330,13 +375,13 @@ def search_term_clean(spark, d):
 
 @query(f"WITH {_EDGES} SELECT parent AS item_id, count(*) AS n, string_agg(child, ',' ORDER BY child, ord) AS children FROM edges GROUP BY parent")
 def child_edges(spark, d):
-    rows = edges_of(spark, d).groupBy(F.col("parent").alias("item_id")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("child", "ord"))).alias("c"))
+    rows = graph.child_edges(edges_of(spark, d), nodes(items_of(spark, d))).groupBy(F.col("parent").alias("item_id")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("child", "ord"))).alias("c"))
     return rows.select("item_id", "n", F.concat_ws(",", F.transform("c", lambda x: x["child"].cast("string"))).alias("children"))
 
 
 @query(f"WITH {_EDGES} SELECT child AS item_id, count(*) AS n, string_agg(parent, ',' ORDER BY ord) AS parents FROM edges GROUP BY child")
 def parent_edges(spark, d):
-    rows = edges_of(spark, d).groupBy(F.col("child").alias("item_id")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("ord", "parent"))).alias("p"))
+    rows = graph.parent_edges(edges_of(spark, d), nodes(items_of(spark, d))).groupBy(F.col("child").alias("item_id")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("ord", "parent"))).alias("p"))
     return rows.select("item_id", "n", F.concat_ws(",", F.transform("p", lambda x: x["parent"].cast("string"))).alias("parents"))
 
 
@@ -455,13 +500,49 @@ def descendants_tree(spark, d):
     return trees.other_parents(tree, edges).select("root", _path(), "depth", "item_id", F.coalesce("tree_parent", F.lit(-1)).alias("tree_parent"), F.coalesce("parent_ety_order", F.lit(-1)).alias("parent_ety_order"), _others())
 
 
-@query(f"WITH RECURSIVE {_ITEMS}, {_TOPS}, {_BELOW}, {_ADMIT}, starts AS (SELECT DISTINCT top AS id FROM tops), {_DOWN.format(edges='admit')} SELECT tops.root AS \"of\", count(*) AS n_nodes, count(DISTINCT t.item_id) AS n_items, max(t.depth) AS depth FROM tops JOIN t ON t.root = tops.top GROUP BY tops.root")
+@query(f"""WITH RECURSIVE {_ITEMS}, {_TOPS}, {_BELOW}, {_ADMIT}, plain AS (SELECT DISTINCT child, parent, ord, true AS ok FROM admit), opened AS (SELECT DISTINCT root AS "of", parent AS id FROM up JOIN items ON item_id = parent WHERE lang_id IN (1, 3)),
+step AS (SELECT e.child, e.parent, coalesce(ok, false) AS ok FROM edges e LEFT JOIN plain USING (child, parent, ord)),
+f AS (SELECT root AS "of", top AS item_id, 0 AS depth FROM tops UNION ALL SELECT f."of", e.child, f.depth + 1 FROM f JOIN step e ON e.parent = f.item_id LEFT JOIN opened o ON o."of" = f."of" AND o.id = f.item_id WHERE e.ok OR o.id IS NOT NULL)
+SELECT "of", count(*) AS n_nodes, count(DISTINCT item_id) AS n_items, max(depth) AS depth FROM f GROUP BY "of" """)
 def cognates(spark, d):
     edges, items = materialize(edges_of(spark, d)), materialize(items_of(spark, d))
-    rows = trees.cognates_tree(edges, _admissible(spark, d, edges, items), nodes(items))
+    opened = graph.ancestors_in_langs(edges, items, nodes(items), LANGS)
+    rows = trees.cognates_tree(edges, _admissible(spark, d, edges, items), nodes(items), opened)
     return rows.groupBy("of").agg(F.count("*").alias("n_nodes"), F.countDistinct("item_id").alias("n_items"), F.max("depth").alias("depth"))
 
 
+@query(f"WITH RECURSIVE {_ITEMS}, {_EDGES}, t AS (SELECT item_id AS root, [0] AS path, item_id, 0 AS ety_order FROM items UNION ALL SELECT t.root, list_append(t.path, e.ord), e.parent, e.ord FROM t JOIN edges e ON e.child = t.item_id) SELECT root, {_PATH}, item_id, row_number() OVER (PARTITION BY root, path[:-2] ORDER BY ety_order DESC, item_id)::INTEGER AS place FROM t")
+def etymology_order(spark, d):
+    tree = trees.etymology_tree(edges_of(spark, d), nodes(items_of(spark, d)))
+    return trees.sort_etymology(tree).select("root", _path(), "item_id", "place")
+
+
+@query(f"""WITH RECURSIVE {_ITEMS}, {_EDGES}, starts AS (SELECT item_id AS id FROM items WHERE item_id < 5), {_DOWN.format(edges='edges')}, a AS (SELECT x.root, x.path, max(len(y.path)) - len(x.path) AS height, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM t z WHERE z.root = y.root AND z.path[:-2] = y.path)) AS leaves, max((y.item_id = 40)::INTEGER) AS holds FROM t x JOIN t y ON x.root = y.root AND y.path[:len(x.path)] = x.path GROUP BY x.root, x.path)
+SELECT t.root, {_PATH.replace('path,', 't.path,')}, t.item_id, height::INTEGER AS height, leaves::BIGINT AS leaves, row_number() OVER (PARTITION BY t.root, t.path[:-2] ORDER BY holds, height, leaves, i.term DESC, t.path[-1])::INTEGER AS place FROM t JOIN a USING (root, path) JOIN items i USING (item_id)""")
+def descendants_order(spark, d):
+    """The trees of five items, as they are shown where item 40 is selected."""
+    items = items_of(spark, d)
+    tree = trees.descendants_tree(edges_of(spark, d), nodes(items.where("item_id < 5")))
+    return trees.sort_descendants(tree, items, 40).select("root", _path(), "item_id", "height", "leaves", "place")
+
+
+@query(f"WITH RECURSIVE {_ITEMS}, {_UP}, r AS (SELECT root, parent AS item_id FROM up UNION SELECT item_id, item_id FROM items) SELECT DISTINCT r.root, i.lang_id, 'Lang ' || i.lang_id AS name FROM r JOIN items i USING (item_id)")
+def tree_langs(spark, d):
+    items = items_of(spark, d)
+    return trees.tree_langs(trees.etymology_tree(edges_of(spark, d), nodes(items)), items, langs_of(spark))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, t AS (SELECT p_partkey AS root, [0] AS path, p_partkey AS item_id FROM part UNION ALL SELECT t.root, list_append(t.path, e.ord), e.parent FROM t JOIN edges e ON e.child = t.item_id), f AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY len(path), path) AS n FROM t WHERE item_id = 3) SELECT root, {_PATH}, item_id FROM f WHERE n = 1")
+def find_item(spark, d):
+    tree = trees.etymology_tree(edges_of(spark, d), nodes(items_of(spark, d)))
+    return trees.find_item(tree, 3).select("root", _path(), "item_id")
+
+
+@query(f"WITH RECURSIVE {_ITEMS}, {_UP} SELECT DISTINCT parent AS item_id FROM up WHERE root = 150")
+def ancestor_set(spark, d):
+    return server.ancestor_set(edges_of(spark, d), 150)
+
+
 @query(f"WITH RECURSIVE {_ITEMS}, {_EDGES}, m AS (SELECT child, any_value(mode) AS mode FROM edges GROUP BY child), kept AS (SELECT e.* FROM edges e LEFT JOIN m ON m.child = e.parent WHERE m.mode IS NULL OR m.mode NOT IN ('borrowed', 'suffix')), t AS (SELECT item_id AS root, [0] AS path, 0 AS depth, item_id FROM items UNION ALL SELECT t.root, list_append(t.path, e.ord), t.depth + 1, e.parent FROM t JOIN kept e ON e.child = t.item_id) SELECT root, {_PATH}, depth, item_id FROM t")
 def mode_filtered_tree(spark, d):
     edges = materialize(edges_of(spark, d))

@@ -36,6 +36,14 @@ class Reader:
             return trees.etymology_nodes(self.edges, self.items, self.langs, asked["item"])
         return trees.descendants_nodes(self.edges, self.items, self.langs, self.below, asked["kind"], asked["item"], asked["dist_lang"], asked["desc_langs"])
 
+    def tree_langs(self, path: str) -> DataFrame:
+        """(lang_id, name), distinct: the languages in a tree."""
+        return trees.tree_langs(self.tree(path), self.items, self.langs).select("lang_id", "name").distinct()
+
+    def find_item(self, path: str, item: int) -> DataFrame:
+        """The first row of an item in each tree of a path."""
+        return trees.find_item(self.tree(path), item)
+
     def answer(self, path: str):
         """The nested answer to a path: /search/lang, /search/item/<lang>, or a tree, which is kept."""
         from urllib.parse import parse_qs, urlsplit

@@ -47,6 +47,11 @@ def parse(lines: DataFrame) -> DataFrame:
     return lines.select("line_no", v.alias("v")).withColumn("is_redirect", F.try_variant_get("v", "$.redirect", "variant").isNotNull())
 
 
+def count_records(lines: DataFrame) -> DataFrame:
+    """(n_lines, n_records): lines, and those of them that are JSON."""
+    return lines.agg(F.count("*").alias("n_lines"), F.count(F.try_parse_json("raw")).alias("n_records"))
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """(lang, term) of a CSV file without a header."""
     return spark.read.csv(path, header=False, schema="lang string, term string")

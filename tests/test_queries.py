@@ -1,3 +1,4 @@
+import random
 from pathlib import Path
 
 import pytest
@@ -38,19 +39,25 @@ def test_cycle_removal(spark):
     assert graph.remove_cycles(edges).count() == edges.count()
 
 
-def test_cognates_open_each_items_own_ancestors(spark):
-    """A forest goes down all edges from the asked item's ancestors in the wanted languages; the registered query's SQL has no such rule, so this one has its own."""
-    from lexigraph.operators import trees
-    from lexigraph.plans.queries import _ADMIT, _BELOW, _ITEMS, _TOPS, LANGS, _admissible, edges_of, items_of, nodes
-
-    edges, items = edges_of(spark, DATA), items_of(spark, DATA)
-    opened = graph.ancestors_in_langs(edges, items, nodes(items), LANGS)
-    rows = trees.cognates_tree(edges, _admissible(spark, DATA, edges, items), nodes(items), opened).groupBy("of").count()
-    sql = f"""WITH RECURSIVE {_ITEMS}, {_TOPS}, {_BELOW}, {_ADMIT}, plain AS (SELECT DISTINCT child, parent, ord FROM admit), opened AS (SELECT DISTINCT root, parent AS id FROM up JOIN items ON item_id = parent WHERE lang_id IN (1, 3)),
-    f AS (SELECT root AS "of", top AS item_id FROM tops UNION ALL SELECT f."of", e.child FROM f JOIN edges e ON e.parent = f.item_id LEFT JOIN plain p ON p.child = e.child AND p.parent = e.parent AND p.ord = e.ord LEFT JOIN opened o ON o.root = f."of" AND o.id = f.item_id WHERE p.child IS NOT NULL OR o.id IS NOT NULL)
-    SELECT "of", count(*) AS count FROM f GROUP BY ALL"""
-    assert assert_same(rows, sql, DATA) > 0
-    shared = QUERIES["cognates"](spark, DATA).selectExpr("of", "n_nodes")
-    got = {r["of"]: r["count"] for r in rows.collect()}
-    fewer = {r["of"]: r["n_nodes"] for r in shared.collect()}
-    assert got.keys() == fewer.keys() and all(fewer[k] <= got[k] for k in got) and sum(fewer.values()) < sum(got.values())
+@pytest.mark.parametrize("dedupe", [False, True])
+def test_progenitors_of_forks_equal_brute_force(spark, dedupe):
+    """Random acyclic graphs with many forks and repeated edges: the distinct ends of all ways up, or none if an ancestor is met twice."""
+    rng = random.Random(5)
+    pairs = [(k, rng.randrange(k)) for k in range(1, 120) for _ in range(rng.choice([0, 1, 1, 1, 2, 3]) if k > 6 else 0)]
+    edges = spark.createDataFrame([(a, b, n, n == 0, "derived", 1.0) for n, (a, b) in enumerate(pairs)], "child long, parent long, ord int, head boolean, mode string, confidence double")
+    up = {}
+    for a, b in pairs:
+        up.setdefault(a, []).append(b)
+
+    def ways(x):
+        return [w for p in up.get(x, []) for w in (p, *ways(p))]
+
+    want = {}
+    for x in up:
+        met = ways(x)
+        if dedupe or len(set(met)) == len(met):
+            want[x] = sorted({w for w in met if w not in up})
+    got = {r["item_id"]: list(r["items"]) for r in graph.progenitors(edges, dedupe=dedupe).collect()}
+    assert got == want and len(want) > 30
+    some = spark.createDataFrame([(x,) for x in (10, 50, 90, 3)], "id long")
+    assert {r["item_id"] for r in graph.progenitors(edges, some, dedupe).collect()} == {10, 50, 90} & want.keys()
