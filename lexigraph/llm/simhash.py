@@ -6,29 +6,39 @@ within RADIUS and all 128 bits within TOTAL.
 
 The search is exact.  A vantage-point tree on a whole 64-bit half would hardly
 prune: distances to any vantage point lie within a few bits of 32.  So the half
-is cut into BLOCKS; two near fingerprints lie within RADIUS // BLOCKS of each
-other in at least one block, and the Hamming distance within a block obeys the
-triangle inequality too.  Each block has a vantage-point tree over its value
-space.  Subtrees are the shards: a fingerprint is stored in its home shard and
-sent as a query to each shard that the triangle bound cannot exclude.  Within a
-shard the descent goes on to single values, whose fingerprints are compared.
+is cut into blocks, fewer and wider ones for more rows; two near fingerprints
+lie within RADIUS // blocks of each other in at least one block, and the Hamming
+distance within a block obeys the triangle inequality too.  Each block has a
+vantage-point tree over its value space, as deep as the rows need for shards of
+a bounded size.  A fingerprint is stored in its home shard and sent as a query
+to each shard that the triangle bound cannot exclude; more queries than a task
+should hold go in several parts.  Within a shard the fingerprints whose block is
+in reach are compared.
 """
 
 from __future__ import annotations
 
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigraph.llm.textops import U64, binaries, buckets, keyed, longs, mix, numbered, slices, with_ids, written
+from lexigraph.llm.textops import U64, keyed, longs, mix, numbered, slices, with_ids, written
 
-RADIUS, TOTAL, BLOCKS = 11, 22, 6
-SHIFTS = (0, 11, 22, 33, 44, 54)
-BITS = (11, 11, 11, 11, 10, 10)
-REACH = RADIUS // BLOCKS
+RADIUS, TOTAL = 11, 22
+#: Block widths from so many rows on: fewer and wider blocks leave fewer fingerprints to compare, and more values in reach to look up.
+LAYOUTS = ((0, (11, 11, 11, 11, 10, 10)), (1 << 18, (16, 16, 16, 16)), (1 << 22, (22, 21, 21)))
+#: Fingerprints that a shard stores, and queries that one of its parts holds, at most or so.
+SHARD_ROWS = 1 << 18
+
+
+def layout(rows: int) -> tuple[tuple[int, ...], int]:
+    """(widths of the blocks, reach within a block) for so many fingerprints; the pairs found are the same for all."""
+    bits = [bits for least, bits in LAYOUTS if rows >= least][-1]
+    return bits, RADIUS // len(bits)
 
 
 def _sums(bits: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -75,114 +85,90 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class VantageTree:
-    """A vantage-point tree over all values of a block; leaves are single values, in tree order."""
-
-    def __init__(self, bits: int):
-        self.bits = bits
-        self.nodes: dict[tuple[int, int], tuple[int, int, int]] = {}  # (lo, hi) of the order -> (vantage point, threshold, split)
-        self.order = np.arange(1 << bits)
-        todo = [(0, 1 << bits)]
-        while todo:
-            lo, hi = todo.pop()
-            if hi - lo < 2:
-                continue
-            values = self.order[lo:hi]
-            vantage = int(values[0])
-            d = np.bitwise_count(values ^ vantage)
-            # the widest spread of distances that still splits evenly
-            threshold = int(np.median(d))
-            inner = d <= threshold
-            if inner.all():
-                threshold -= 1
-                inner = d <= threshold
-            self.order[lo:hi] = np.concatenate([values[inner], values[~inner]])
-            split = lo + int(inner.sum())
-            self.nodes[lo, hi] = (vantage, threshold, split)
-            todo += [(lo, split), (split, hi)]
-
-    def shards(self, depth: int) -> list[tuple[int, int]]:
-        level = [(0, 1 << self.bits)]
-        for _ in range(depth):
-            level = [part for lo, hi in level for part in (((lo, self.nodes[lo, hi][2]), (self.nodes[lo, hi][2], hi)) if (lo, hi) in self.nodes else ((lo, hi),))]
-        return level
-
-    def visit(self, node: tuple[int, int], values: np.ndarray, reach: int, stop: set | None = None):
-        """(node, values) for each leaf, or node in stop, that the triangle bound leaves for the balls of this reach around values."""
-        if not len(values):
+    """A vantage-point tree of this depth over all values of a block; its leaves are the shards, numbered from 0."""
+
+    def __init__(self, bits: int, depth: int):
+        self.nodes: list[tuple[int, int, int, int] | int] = []  # (vantage point, threshold, inner node, outer node), or a shard's number
+        self.shards = 0
+        self._grow(np.arange(1 << bits, dtype=np.int32), depth)
+
+    def _grow(self, values: np.ndarray, depth: int) -> int:
+        at = len(self.nodes)
+        self.nodes.append(self.shards)
+        if not depth or len(values) < 2:
+            self.shards += 1
+            return at
+        vantage = int(values[0])
+        d = np.bitwise_count(values ^ vantage)
+        # the distance that splits most evenly
+        upto = np.cumsum(np.bincount(d))[:-1]
+        threshold = int(np.abs(2 * upto - len(values)).argmin())
+        inner = d <= threshold
+        self.nodes[at] = (vantage, threshold, self._grow(values[inner], depth - 1), self._grow(values[~inner], depth - 1))
+        return at
+
+    def visit(self, values: np.ndarray, reach: int, node: int = 0, rows: np.ndarray | None = None):
+        """(shard, rows) for each shard that the triangle bound leaves for the balls of this reach around the values of some rows."""
+        rows = np.arange(len(values)) if rows is None else rows
+        if not len(rows):
             return
-        if node not in self.nodes or (stop is not None and node in stop):
-            yield node, values
+        here = self.nodes[node]
+        if isinstance(here, int):
+            yield here, rows
             return
-        vantage, threshold, split = self.nodes[node]
-        d = np.bitwise_count(values ^ vantage).astype(np.int64)
-        yield from self.visit((node[0], split), values[d - reach <= threshold], reach, stop)
-        yield from self.visit((split, node[1]), values[d + reach > threshold], reach, stop)
+        vantage, threshold, inner, outer = here
+        d = np.bitwise_count(values[rows] ^ vantage).astype(np.int64)
+        yield from self.visit(values, reach, inner, rows[d - reach <= threshold])
+        yield from self.visit(values, reach, outer, rows[d + reach > threshold])
 
 
 @cache
-def tree(bits: int) -> VantageTree:
-    return VantageTree(bits)
+def tree(bits: int, depth: int) -> VantageTree:
+    return VantageTree(bits, depth)
 
 
 @cache
-def routing(bits: int, depth: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each value of a block: its home shard, and (first, shard) the shards that its ball may overlap."""
-    t = tree(bits)
-    shards = t.shards(depth)
-    home = np.zeros(1 << bits, dtype=np.int64)
-    for k, (lo, hi) in enumerate(shards):
-        home[t.order[lo:hi]] = k
-    number = {node: k for k, node in enumerate(shards)}
-    value, shard = [], []
-    for node, values in t.visit((0, 1 << bits), np.arange(1 << bits), reach, set(shards)):
-        value.append(values)
-        shard.append(np.full(len(values), number[node]))
-    v, s = np.concatenate(value), np.concatenate(shard)
-    order = np.argsort(v, kind="stable")
-    return home, np.searchsorted(v[order], np.arange((1 << bits) + 1)), s[order]
+def ball(bits: int, reach: int) -> np.ndarray:
+    """The differences of at most `reach` bits: a value's neighbours are its exclusive ors with them."""
+    return np.array([sum(1 << k for k in some) for n in range(reach + 1) for some in combinations(range(bits), n)], dtype=np.int64)
 
 
-@cache
-def neighbours(bits: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each value of a block: (first, value) the values within reach, by descent through the tree to single values."""
-    t = tree(bits)
-    mine, other = [], []
-    for (lo, _), values in t.visit((0, 1 << bits), np.arange(1 << bits), reach):
-        leaf = int(t.order[lo])
-        near = values[np.bitwise_count(values ^ leaf) <= reach]
-        mine.append(near)
-        other.append(np.full(len(near), leaf))
-    m, o = np.concatenate(mine), np.concatenate(other)
-    order = np.argsort(m, kind="stable")
-    return np.searchsorted(m[order], np.arange((1 << bits) + 1)), o[order]
+def _block(f: np.ndarray, bits: tuple[int, ...], b: int) -> np.ndarray:
+    return ((f >> U64(sum(bits[:b]))) & U64((1 << bits[b]) - 1)).astype(np.int64)
 
 
-def _block(f: np.ndarray, b: int) -> np.ndarray:
-    return ((f >> U64(SHIFTS[b])) & U64((1 << BITS[b]) - 1)).astype(np.int64)
-
-
-def _search(b: int, stored: np.ndarray, asked: np.ndarray):
+def _search(bits: tuple[int, ...], reach: int, b: int, stored: np.ndarray, asked: np.ndarray):
     """Near pairs (asked row, stored row) of the shard, each found in the first block where it is in reach; rows are (id, f1, f2)."""
-    sv, av = _block(stored[:, 1], b), _block(asked[:, 1], b)
+    sv, av = _block(stored[:, 1], bits, b), _block(asked[:, 1], bits, b)
     so, ao = np.argsort(sv, kind="stable"), np.argsort(av, kind="stable")
     stored, asked, sv, av = stored[so], asked[ao], sv[so], av[ao]
-    first, leaf = neighbours(BITS[b], REACH)
+    first = np.searchsorted(sv, np.arange((1 << bits[b]) + 1))
+    apart = ball(bits[b], reach)
     values, begin = np.unique(av, return_index=True)
     ends = np.append(begin[1:], len(av))
-    for v, lo, hi in zip(values, begin, ends):
-        leaves = leaf[first[v] : first[v + 1]]
-        spans = np.searchsorted(sv, leaves), np.searchsorted(sv, leaves, side="right")
-        rows = np.concatenate([np.arange(x, y) for x, y in zip(*spans)])
-        if not len(rows):
+    ids, prints = stored[:, 0].view(np.int64), stored[:, 1]
+    for v, lo, hi in zip(values.tolist(), begin.tolist(), ends.tolist()):
+        near = apart ^ v
+        low = first[near]
+        many = first[near + 1] - low
+        some = np.flatnonzero(many)
+        if not len(some):
             continue
-        s1 = stored[rows, 1]
-        for at in range(lo, hi, step := max(1, (1 << 20) // len(rows))):
+        low, many = low[some], many[some]
+        rows = np.arange(int(many.sum())) + np.repeat(low - (np.cumsum(many) - many), many)
+        s1 = prints[rows]
+        step = max(1, (1 << 20) // len(rows))
+        for at in range(lo, hi, step):
             a = asked[at : min(hi, at + step)]
             q, r = np.nonzero(np.bitwise_count(a[:, 1][:, None] ^ s1) <= RADIUS)
-            x, y = a[q], stored[rows[r]]
-            ok = (x[:, 0].view(np.int64) < y[:, 0].view(np.int64)) & (np.bitwise_count(x[:, 1] ^ y[:, 1]) + np.bitwise_count(x[:, 2] ^ y[:, 2]) <= TOTAL)
+            r = rows[r]
+            ok = a[q, 0].view(np.int64) < ids[r]
+            if not ok.any():
+                continue
+            x, y = a[q[ok]], stored[r[ok]]
+            ok = np.bitwise_count(x[:, 1] ^ y[:, 1]) + np.bitwise_count(x[:, 2] ^ y[:, 2]) <= TOTAL
             for earlier in range(b):
-                ok &= np.bitwise_count(_block(x[:, 1], earlier) ^ _block(y[:, 1], earlier)) > REACH
+                ok &= np.bitwise_count(_block(x[:, 1], bits, earlier) ^ _block(y[:, 1], bits, earlier)) > reach
             if ok.any():
                 yield x[ok, 0].view(np.int64), y[ok, 0].view(np.int64), (np.bitwise_count(x[ok, 1] ^ y[ok, 1])).astype(np.int64)
 
@@ -204,31 +190,36 @@ def _forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[int]:
 
 
 def near_pairs(prints: DataFrame, forest: bool = False) -> DataFrame:
-    """All near pairs (a, b, distance), a < b, of the fingerprints (id, f1, f2); ids must be distinct.
+    """All near pairs (a, b, distance), a < b, of the fingerprints (id, f1, f2), which are read twice; ids must be distinct.
 
     With forest=True each shard returns only pairs that join two of its groups,
     so a group of thousands gives thousands of rows and not millions; the
     connected components are the same.
     """
-    n = buckets(prints.sparkSession)
-    depth = max(2, min(9, (n // BLOCKS).bit_length()))
+    many = prints.count()
+    bits, reach = layout(many)
+    depth = max(2, (many // SHARD_ROWS).bit_length())
+    rng = np.random.default_rng(0)
+    # the share of all fingerprints that asks a shard decides into how many parts its queries go; what a shard stores goes to each part
+    share = sum(len(rows) for _, rows in tree(bits[0], depth).visit(rng.integers(0, 1 << bits[0], 4096, dtype=np.int64), reach)) / 4096 / 2**depth
+    parts = max(1, -(-int(many * share) // SHARD_ROWS))
 
     def route(batches):
         pending, size = [], 0
 
         def flush():
             rows = np.concatenate(pending)
-            for b in range(BLOCKS):
-                home, first, shard = routing(BITS[b], depth, REACH)
-                v = _block(rows[:, 1], b)
-                count = first[v + 1] - first[v]
-                query = np.repeat(np.arange(len(rows)), count)
-                to = shard[np.repeat(first[v], count) + np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)]
-                for role, row, dest in ((0, np.arange(len(rows)), home[v]), (1, query, to)):
-                    order = np.argsort(dest, kind="stable")
-                    cuts = np.flatnonzero(np.diff(dest[order])) + 1
-                    parts = np.split(order, cuts)
-                    yield pa.RecordBatch.from_arrays([pa.array([(b << 16) + int(dest[p[0]]) for p in parts], pa.int32()), pa.array([role] * len(parts), pa.int32()), binaries([rows[row[p]] for p in parts])], names=["shard", "role", "rows"])
+            part = (mix(rows[:, 0]) % U64(parts)).astype(np.int64)
+            for b, width in enumerate(bits):
+                v = _block(rows[:, 1], bits, b)
+                out = []
+                for role, far in ((0, 0), (1, reach)):
+                    for shard, some in tree(width, depth).visit(v, far):
+                        for k in range(parts):
+                            mine = some if role == 0 else some[part[some] == k]
+                            if len(mine):
+                                out.append((b, shard, k, role, rows[mine].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["block", "shard", "part", "role", "rows"])
 
         for batch in batches:
             pending.append(np.stack([longs(c)[0].view(U64) for c in batch.columns], axis=1))
@@ -240,21 +231,20 @@ def near_pairs(prints: DataFrame, forest: bool = False) -> DataFrame:
             yield from flush()
 
     def solve(key, table):
-        shard = key[0].as_py()
         rows = [np.frombuffer(x, dtype=U64).reshape(-1, 3) for x in table.column("rows").to_pylist()]
         role = table.column("role").to_pylist()
         stored, asked = (np.concatenate([r for r, k in zip(rows, role) if k == want] or [np.zeros((0, 3), dtype=U64)]) for want in (0, 1))
         parent: dict[int, int] = {}
         out = [(np.zeros(0, np.int64),) * 3]
-        for a, b, d in _search(shard >> 16, stored, asked):
+        for a, b, d in _search(bits, reach, key[0].as_py(), stored, asked):
             if forest:
                 keep = _forest(a, b, parent)
                 a, b, d = a[keep], b[keep], d[keep]
             out.append((a, b, d))
         return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b", "distance"])
 
-    routed = prints.select("id", "f1", "f2").mapInArrow(route, "shard int, role int, rows binary")
-    return routed.groupBy("shard").applyInArrow(solve, "a long, b long, distance long")
+    routed = prints.select("id", "f1", "f2").mapInArrow(route, "block int, shard int, part int, role int, rows binary")
+    return routed.groupBy("block", "shard", "part").applyInArrow(solve, "a long, b long, distance long")
 
 
 def components(edges: DataFrame) -> DataFrame:

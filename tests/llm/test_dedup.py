@@ -36,14 +36,20 @@ def test_lookup():
     assert (look(keys) == np.arange(len(keys))).all() and (look(keys + np.uint64(1))[~np.isin(keys + np.uint64(1), keys)] == -1).all()
 
 
-def test_vantage_tree_prunes_only_what_is_out_of_reach():
-    for bits in (5, 8):
-        first, near = simhash.neighbours(bits, 1)
-        for v in range(1 << bits):
-            assert sorted(near[first[v] : first[v + 1]]) == sorted([v, *[v ^ 1 << k for k in range(bits)]])
-        home, first, shard = simhash.routing(bits, 3, 1)
-        for v in range(1 << bits):
-            assert {home[v ^ 1 << k] for k in range(bits)} | {home[v]} <= set(shard[first[v] : first[v + 1]])
+@pytest.mark.parametrize("bits, depth, reach", [(5, 3, 1), (8, 3, 1), (9, 5, 2), (10, 4, 3)])
+def test_vantage_tree_prunes_only_what_is_out_of_reach(bits, depth, reach):
+    assert sorted(simhash.ball(bits, reach)) == [x for x in range(1 << bits) if x.bit_count() <= reach]
+    values = np.arange(1 << bits)
+    t = simhash.VantageTree(bits, depth)
+    home, asked = np.full(len(values), -1), np.zeros((len(values), t.shards), dtype=bool)
+    for shard, rows in t.visit(values, 0):
+        assert (home[rows] == -1).all()
+        home[rows] = shard
+    for shard, rows in t.visit(values, reach):
+        asked[rows, shard] = True
+    assert set(home) == set(range(t.shards)) and t.shards == 1 << depth
+    for v in values:
+        assert asked[v, home[v ^ simhash.ball(bits, reach)]].all()
 
 
 def near_prints(seed, n):
@@ -59,7 +65,11 @@ def near_prints(seed, n):
     return [(i, *r) for i, r in enumerate(dict.fromkeys(rows))]
 
 
-def test_near_pairs_are_all_pairs(spark):
+@pytest.mark.parametrize("rows_from, shard_rows", [((0, 1 << 40, 1 << 40), 1 << 18), ((0, 0, 1 << 40), 40), ((0, 0, 1 << 40), 1 << 18)])
+def test_near_pairs_are_all_pairs(spark, monkeypatch, rows_from, shard_rows):
+    """Whatever the layout of blocks and the size of shards."""
+    monkeypatch.setattr(simhash, "LAYOUTS", tuple((n, bits) for n, (_, bits) in zip(rows_from, simhash.LAYOUTS)))
+    monkeypatch.setattr(simhash, "SHARD_ROWS", shard_rows)
     rows = near_prints(1, 60)
     want = {(a, b) for a, x1, x2 in rows for b, y1, y2 in rows if a < b and (x1 ^ y1).bit_count() <= simhash.RADIUS and (x1 & (2**64 - 1) ^ y1 & (2**64 - 1)).bit_count() <= simhash.RADIUS}
     bits = lambda x, y: ((x ^ y) & (2**64 - 1)).bit_count()
@@ -68,6 +78,19 @@ def test_near_pairs_are_all_pairs(spark):
     assert len(got) == len({(r["a"], r["b"]) for r in got}) and {(r["a"], r["b"]) for r in got} == want and len(want) > 100
 
 
+@pytest.mark.parametrize("bits", [bits for _, bits in simhash.LAYOUTS])
+def test_search_of_each_layout(bits):
+    rows = np.array(near_prints(2, 80), dtype=np.int64).view(np.uint64)
+    reach, found = simhash.RADIUS // len(bits), []
+    for b in range(len(bits)):
+        for x, y, d in simhash._search(bits, reach, b, rows, rows):
+            found += list(zip(x.tolist(), y.tolist(), d.tolist()))
+    near = np.bitwise_count(rows[:, 1][:, None] ^ rows[:, 1])
+    both = near + np.bitwise_count(rows[:, 2][:, None] ^ rows[:, 2])
+    want = {(int(i), int(j), int(near[i, j])) for i, j in zip(*np.nonzero((near <= simhash.RADIUS) & (both <= simhash.TOTAL))) if i < j}
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 100 and sum(bits) == 64
+
+
 def groups_by_brute_force(rows):
     """Connected components over all pairs of fingerprints."""
     parent = {i: i for i, *_ in rows}
