@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigraph.llm.textops import U64, Lookup, Texts, longs, slices, with_ids, written
+from lexigraph.llm.textops import U64, Lookup, Texts, longs, numbered, slices, with_ids, written
 
 PHRASE, SHARE, SLACK, LEAST = 8, 0.8, 1.25, 8
 GAP = 4096
@@ -191,12 +191,15 @@ def contaminated(
     distinct words counts only as a phrase.  Null or wordless items match
     nothing, as do null and empty texts and rows without an id.  Rows that
     repeat an id are each searched; the best match by id and item is returned.
+    Ids of any orderable type will do.
 
     The items are read to the driver: a test set has a size of its own that
     doesn't grow with the corpus.  Its words prune the stored postings while
     there are at most TERMS_LIMIT of them.
     """
-    rows = benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col)).where(F.col(item_col).isNotNull()).distinct().orderBy(item_col, item_text_col).collect()
+    docs, own_doc = numbered(docs.select(id_col, text_col), id_col)
+    tests, own_item = numbered(benchmark.select(item_col, item_text_col).where(F.col(item_col).isNotNull()).distinct(), item_col)
+    rows = tests.orderBy(item_col, item_text_col).collect()
     items = Items([r[0] for r in rows], item_words([r[1] or "" for r in rows]), phrase)
     index = written(build_index(docs, items.terms if len(items.terms) <= TERMS_LIMIT else None, id_col, text_col, max(GAP, 2 * math.ceil(slack * max(map(len, items.words), default=0)) + 1)))
     shared = docs.sparkSession.sparkContext.broadcast(items)
@@ -238,10 +241,11 @@ def contaminated(
 
     hits = index.mapInArrow(search, "doc_id long, item_id long, kind string, n_words long, coverage double")
     best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("kind") == "phrase", "n_words", "coverage")).alias("best"))
-    return best.select("doc_id", "item_id", F.when(F.col("best.col1"), "phrase").otherwise("proximity").alias("kind"), "best.n_words", F.round("best.coverage", 6).alias("coverage"))
+    found = best.select("doc_id", "item_id", F.when(F.col("best.col1"), "phrase").otherwise("proximity").alias("kind"), "best.n_words", F.round("best.coverage", 6).alias("coverage"))
+    return own_item(own_doc(found, "doc_id"), "item_id")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those that contaminated() reports; rows without an id stay."""
     found = written(contaminated(docs, benchmark, id_col, text_col, **options).select("doc_id").distinct())
-    return with_ids(docs, found.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col)), id_col, "left_anti")
+    return with_ids(docs, found.withColumnRenamed("doc_id", id_col), id_col, "left_anti")

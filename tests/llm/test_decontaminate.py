@@ -103,3 +103,12 @@ def test_postings_are_complete(spark, nasty):
     index = decontaminate.build_index(nasty).collect()
     got = sum(int(np.frombuffer(r["sizes"], dtype=np.uint32).sum()) for r in index)
     assert got == sum(len(words_of(r["text"])) for r in nasty.collect() if r["doc_id"] is not None)
+
+
+def test_ids_of_any_type(spark, rng):
+    item = prose(rng, 20)
+    docs = spark.createDataFrame([("doc-1", f"{prose(rng, 30)} {item}"), ("doc-2", prose(rng, 40)), (None, item)], "doc_id string, text string")
+    tests = spark.createDataFrame([("b", item), ("a", prose(rng, 15)), (None, item)], "item_id string, text string")
+    assert [(r["doc_id"], r["item_id"], r["kind"], r["n_words"]) for r in decontaminate.contaminated(docs, tests).collect()] == [("doc-1", "b", "phrase", 20)]
+    kept = decontaminate.drop_contaminated(docs, tests)
+    assert kept.schema == docs.schema and {r["doc_id"] for r in kept.collect()} == {"doc-2", None}

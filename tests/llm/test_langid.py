@@ -72,3 +72,44 @@ def test_languages_that_were_not_learned(spark, model):
     df = spark.createDataFrame(list(enumerate(other + own)), "doc_id long, text string")
     assert {r["doc_id"] for r in langid.identify(df, model).where("predicted = 'und' and family is null and margin = 0").collect()} == {0, 1, 2}
     assert {r["doc_id"] for r in langid.keep_identified(df, model).collect()} == set(range(3, 203))
+
+
+def votes_by_brute_force(model, text):
+    """The language by one loop over n-grams, machines and votes."""
+    data = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    letter = [97 <= b <= 122 or b >= 128 for b in data]
+    data = bytes(b if ok else 32 for b, ok in zip(data, letter))
+    if not any(letter):
+        return None, 0.0
+    total, count = [0.0] * len(model.machines), 0
+    for n in langid.ORDERS:
+        for i in range(len(data) - n + 1):
+            if letter[i] or (i + 1 < len(data) and letter[i + 1]):
+                code = int.from_bytes(data[i : i + n], "big")
+                bucket = ((code + (n << 40)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - langid.BITS
+                count += 1
+                for m in range(len(model.machines)):
+                    total[m] += float(model.table[bucket, m])
+    scores = [t / max(count, 1) + o for t, o in zip(total, model.offset)]
+
+    def vote(level, names):
+        won, least = {x: 0 for x in names}, {x: float("inf") for x in names}
+        for (kind, a, b), s in zip(model.machines, scores):
+            if kind == level and a in names and b in names:
+                won[a if s > 0 else b] += s != 0
+                least[a], least[b] = min(least[a], s), min(least[b], -s)
+        best = max(names, key=lambda x: (won[x], 0 if least[x] == float("inf") else least[x]))
+        return best, least[best]
+
+    fam, first = vote("family", model.families)
+    lang, second = vote("lang", [x for x in model.langs if langid.family(x) == fam])
+    margin = min(first, second)
+    return lang, 0.0 if margin == float("inf") else margin
+
+
+def test_votes_equal_brute_force(spark, model):
+    rows = [r[1] for r in corpus(12, 60)] + [r[1][:15] for r in corpus(13, 40)] + ["", "12 34", "Aé x", "THE end"]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(rows):
+        lang, margin = votes_by_brute_force(model, text)
+        assert got[i]["predicted"] == (lang or "und") and abs(got[i]["margin"] - margin) < 1e-4, (text, got[i], lang, margin)
