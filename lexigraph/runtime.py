@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+#: Folders made for each application, which `clear` removes.
+_made: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -26,6 +28,7 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(root.rglob("*.py")):
             z.write(path, path.relative_to(root.parent))
     path = f"{shared_dir(spark)}/lexigraph_ship.zip"
+    _made[app].pop()  # stays as long as the application
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
@@ -43,7 +46,17 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "lexigraph-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this application has written to the shared folder; to be called when no DataFrame made so far is needed any more."""
+    jvm, app = spark.sparkContext._jvm, spark.sparkContext.applicationId
+    for path in _made.pop(app, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
