@@ -95,7 +95,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, id_col: str =
 class Items:
     """Test items prepared for search: phrase runs and distinct words as places in `terms`."""
 
-    def __init__(self, ids: list[int], words: list[np.ndarray], phrase: int):
+    def __init__(self, ids: list[int], words: list[np.ndarray], phrase: int, share: float):
         self.terms = np.unique(np.concatenate([*words, np.zeros(0, dtype=U64)]))
         self.ids = np.array(ids, dtype=np.int64)
         self.words = [np.searchsorted(self.terms, w) for w in words]
@@ -109,11 +109,22 @@ class Items:
             owner.append(np.full(len(view), k))
             place.append(np.arange(len(view)))
             length.append(np.full(len(view), n))
+        distinct = [np.unique(w) for w in self.words]
+        self.many = np.array([len(x) for x in distinct], dtype=np.int64)
+        self.need = np.ceil(share * self.many).astype(np.int64)
+        self.distinct = np.concatenate([*distinct, np.zeros(0, dtype=np.int64)]).astype(np.int64)
         empty = np.zeros(0, dtype=np.int64)
         self.runs = np.concatenate(runs) if runs else np.zeros((0, phrase), dtype=np.int64)
         self.owner, self.place, self.length = (np.concatenate(x) if x else empty for x in (owner, place, length))
 
 
+def _likely(items: Items, size: np.ndarray) -> np.ndarray:
+    """The items enough of whose distinct words occur in the segment."""
+    there = np.append(0, np.cumsum(size[items.distinct] > 0))
+    ends = np.cumsum(items.many)
+    return np.flatnonzero((items.many >= LEAST) & (there[ends] - there[ends - items.many] >= items.need))
+
+
 def _phrases(items: Items, first: np.ndarray, size: np.ndarray, postings: np.ndarray):
     """(item, start, end) of each phrase run found, by place in the segment."""
     pad = items.runs < 0
@@ -200,7 +211,7 @@ def contaminated(
     docs, own_doc = numbered(docs.select(id_col, text_col), id_col)
     tests, own_item = numbered(benchmark.select(item_col, item_text_col).where(F.col(item_col).isNotNull()).distinct(), item_col)
     rows = tests.orderBy(item_col, item_text_col).collect()
-    items = Items([r[0] for r in rows], item_words([r[1] or "" for r in rows]), phrase)
+    items = Items([r[0] for r in rows], item_words([r[1] or "" for r in rows]), phrase, share)
     index = written(build_index(docs, items.terms if len(items.terms) <= TERMS_LIMIT else None, id_col, text_col, max(GAP, 2 * math.ceil(slack * max(map(len, items.words), default=0)) + 1)))
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -229,11 +240,9 @@ def contaminated(
                         until = max(until, e)
                     n = len(items.words[item])
                     out.append((int(doc[d]), int(items.ids[item]), "phrase", min(total, n), min(total, n) / n))
-                for item, words in enumerate(items.words):
-                    n = len(np.unique(words))
-                    if n < LEAST:
-                        continue
-                    for s, _, found in _windows(words, share, slack, first, size, postings):
+                for item in _likely(items, size).tolist():
+                    n = int(items.many[item])
+                    for s, _, found in _windows(items.words[item], share, slack, first, size, postings):
                         d = int(np.searchsorted(base, s, side="right")) - 1
                         if (d, item) not in covered:
                             out.append((int(doc[d]), int(items.ids[item]), "proximity", found, found / n))

@@ -27,8 +27,8 @@ ORDERS, BITS = (2, 3, 4), 14
 FINE = 22
 #: A text is rejected if more than this share of its n-grams is unseen, and if it has this many different ones.
 UNSEEN, EVIDENCE = 0.5, 100
-#: Labelled rows of each language that a model is fitted on at most.
-TRAIN_PER_LANG = 300
+#: Labelled rows of each language, and of all together, that a model is fitted on at most; those of more characters aren't used.
+TRAIN_PER_LANG, TRAIN_ROWS, TRAIN_CHARS = 300, 3000, 50_000
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
     "romance": ("fr", "es", "it", "pt", "ca", "ro", "gl", "oc"),
@@ -69,12 +69,13 @@ def _grams(texts: Texts, bits: int = BITS) -> tuple[list[np.ndarray], np.ndarray
 def features(texts: Texts) -> np.ndarray:
     """Shares of each bucket among a text's n-grams."""
     grams, _ = _grams(texts)
-    row = np.repeat(np.arange(len(texts)), np.diff(texts.offsets))
     x = np.zeros((len(texts), 1 << BITS), dtype=np.float32)
-    for bucket in grams:
-        ok = bucket >= 0
-        x += np.bincount(row[ok] * (1 << BITS) + bucket[ok], minlength=len(texts) << BITS).reshape(x.shape).astype(np.float32)
-    return x / np.maximum(x.sum(axis=1, keepdims=True), 1)
+    for k, (lo, hi) in enumerate(zip(texts.offsets.tolist(), texts.offsets[1:].tolist())):
+        for bucket in grams:
+            some = bucket[lo:hi]
+            x[k] += np.bincount(some[some >= 0], minlength=1 << BITS)
+    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
+    return x
 
 
 def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 100) -> tuple[np.ndarray, float]:
@@ -183,11 +184,12 @@ def train_on(texts: list[str], langs: list[str]) -> Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_PER_LANG) -> Model:
-    """A model fitted on at most per_lang labelled rows of each language, chosen by a hash of their ids; rows without a label, id or text aren't used."""
+    """A model fitted on at most per_lang labelled rows of each language (fewer of each of many, so that all are at most TRAIN_ROWS), chosen by a hash of their ids; rows without a label, id or text aren't used, nor those of more than TRAIN_CHARS characters."""
     ids = docs.select(F.col(id_col).alias("row_id"), F.col(lang_col).alias("label")).dropna()
+    per_lang = min(per_lang, max(1, TRAIN_ROWS // max(1, ids.select("label").distinct().count())))
     order = Window.partitionBy("label").orderBy(F.xxhash64("row_id"), "row_id")
     chosen = written(ids.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang).select("row_id").distinct())
-    rows = with_ids(docs.select(F.col(id_col).alias("row_id"), F.col(lang_col).alias("label"), F.col(text_col).alias("words")).dropna(), chosen, "row_id", "left_semi").orderBy("row_id", "label", "words").collect()
+    rows = with_ids(docs.select(F.col(id_col).alias("row_id"), F.col(lang_col).alias("label"), F.col(text_col).alias("words")).dropna(), chosen, "row_id", "left_semi").where(F.length("words") <= TRAIN_CHARS).orderBy("row_id", "label", "words").collect()
     return train_on([r["words"] for r in rows], [r["label"] for r in rows])
 
 
