@@ -1,4 +1,4 @@
-"""Text as Column expressions; all run inside generated code."""
+"""Text as Column expressions: nothing here leaves the JVM."""
 
 from __future__ import annotations
 

@@ -79,15 +79,13 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 def dense_ids(df: DataFrame, column: str, order: list[str], bucket: Column, start: int = 0) -> DataFrame:
     """df with a gapless id from start on, in the order of the columns.
 
-    bucket is a non-decreasing function of that order.  Only one count for each
-    bucket goes to the driver; rows are numbered within buckets, so no window
-    spans the table.  df is read twice and must be materialized.
+    bucket is a non-decreasing function of that order.  Rows are numbered within
+    buckets, so no window spans the table; one spans a count for each bucket.
+    df is read twice and must be materialized.
     """
     numbered = df.withColumn("_bucket", bucket)
-    offsets, total = [], start
-    for b, n in sorted(map(tuple, numbered.groupBy("_bucket").count().collect())):
-        offsets.append((b, total))
-        total += n
-    table = df.sparkSession.createDataFrame(offsets, "_bucket long, _offset long")
+    before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    counts = numbered.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    offsets = materialize(counts.select("_bucket", (F.coalesce(before, F.lit(0)) + start).alias("_offset")))
     row = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return numbered.join(F.broadcast(table), "_bucket").withColumn(column, F.col("_offset") + row - 1).drop("_bucket", "_offset")
+    return numbered.join(small(offsets), "_bucket").withColumn(column, F.col("_offset") + row - 1).drop("_bucket", "_offset")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigraph.runtime import dense_ids, materialize, small
@@ -19,9 +19,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
             F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")
         )
     )
-    blocks = lines.groupBy("file", "block").agg(F.min("seq").alias("low")).orderBy("file", "block").collect()
-    order = spark.createDataFrame([(r["file"], r["block"], n, r["low"]) for n, r in enumerate(blocks)], "file string, block long, nth long, low long")
-    placed = lines.join(F.broadcast(order), ["file", "block"]).select("raw", "nth", "seq")
+    # a row for each block of a file: numbered in one place, and sent to all only if they are few
+    nth = F.row_number().over(Window.orderBy("file", "block"))
+    order = materialize(lines.select("file", "block").distinct().withColumn("nth", nth.cast("long")))
+    placed = lines.join(small(order), ["file", "block"]).select("raw", "nth", "seq")
     return materialize(dense_ids(placed, "line_no", ["seq"], F.col("nth")).select("line_no", "raw"))
 
 
