@@ -517,12 +517,13 @@ def etymology_order(spark, d):
     return trees.sort_etymology(tree).select("root", _path(), "item_id", "place")
 
 
-@query(f"""WITH RECURSIVE {_ITEMS}, {_EDGES}, starts AS (SELECT item_id AS id FROM items WHERE item_id < 5), {_DOWN.format(edges='edges')}, a AS (SELECT x.root, x.path, max(len(y.path)) - len(x.path) AS height, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM t z WHERE z.root = y.root AND z.path[:-2] = y.path)) AS leaves, max((y.item_id = 40)::INTEGER) AS holds FROM t x JOIN t y ON x.root = y.root AND y.path[:len(x.path)] = x.path GROUP BY x.root, x.path)
+@query(f"""WITH RECURSIVE {_ITEMS}, {_EDGES}, starts AS (SELECT item_id AS id FROM items), {_DOWN.format(edges='edges')}, inside AS (SELECT DISTINCT root, path[:-2] AS path, 0 AS leaf FROM t),
+y AS (SELECT t.root, t.path, t.item_id, coalesce(leaf, 1) AS leaf, unnest(range(1, len(t.path) + 1)) AS k FROM t LEFT JOIN inside USING (root, path)), a AS (SELECT root, path[:k] AS path, max(len(path)) - any_value(k) AS height, sum(leaf) AS leaves, max((item_id = 40)::INTEGER) AS holds FROM y GROUP BY root, path[:k])
 SELECT t.root, {_PATH.replace('path,', 't.path,')}, t.item_id, height::INTEGER AS height, leaves::BIGINT AS leaves, row_number() OVER (PARTITION BY t.root, t.path[:-2] ORDER BY holds, height, leaves, i.term DESC, t.path[-1])::INTEGER AS place FROM t JOIN a USING (root, path) JOIN items i USING (item_id)""")
 def descendants_order(spark, d):
-    """The trees of five items, as they are shown where item 40 is selected."""
+    """The trees of all items, as they are shown where item 40 is selected."""
     items = items_of(spark, d)
-    tree = trees.descendants_tree(edges_of(spark, d), nodes(items.where("item_id < 5")))
+    tree = trees.descendants_tree(edges_of(spark, d), nodes(items))
     return trees.sort_descendants(tree, items, 40).select("root", _path(), "item_id", "height", "leaves", "place")
 
 
