@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigraph.functions.modes import DESCENDANT_KEYS, kind_of, mode_of
+from lexigraph.functions.modes import ALIASES, DESCENDANT_KEYS, kind_of, mode_of
 from lexigraph.functions.text import affix_class, affix_mode, affix_term, first_of_list, root_category, sense_id, valid, valid_term
 from lexigraph.sources.dump import field, strict_byte, strict_string
 from lexigraph.sources.langs import Langs, with_lang
@@ -131,7 +131,7 @@ def descendant_mode(args: Column, n: Column) -> Column:
     mode = F.lit("inherited")
     for key in reversed(DESCENDANT_KEYS):
         there = F.coalesce(F.map_contains_key(args, key) | F.map_contains_key(args, F.concat(F.lit(key), n.cast("string"))), F.lit(False))
-        mode = F.when(there, mode_of(F.lit(key))).otherwise(mode)
+        mode = F.when(there, F.lit(ALIASES[key])).otherwise(mode)
     return mode
 
 
