@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigraph.llm.textops import _LOWER, U64, Texts, slices, with_ids, written
+from lexigraph.llm.textops import _LOWER, U64, Texts, slices, with_ids, within, written
 
 ORDERS, BITS = (2, 3, 4), 14
 #: Bits of the finer buckets that tell whether an n-gram was seen in training.
 FINE = 22
 #: A text is rejected if more than this share of its n-grams is unseen, and if it has this many different ones.
 UNSEEN, EVIDENCE = 0.5, 100
-#: Labelled rows of each language, and of all together, that a model is fitted on at most; those of more characters aren't used.
-TRAIN_PER_LANG, TRAIN_ROWS, TRAIN_CHARS = 300, 3000, 50_000
+#: Labelled rows of each language, and of all together, that a model is fitted on at most, and their characters; the longest are left out.
+TRAIN_PER_LANG, TRAIN_ROWS, TRAIN_CHARS = 300, 3000, 8_000_000
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
     "romance": ("fr", "es", "it", "pt", "ca", "ro", "gl", "oc"),
@@ -184,12 +184,13 @@ def train_on(texts: list[str], langs: list[str]) -> Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_PER_LANG) -> Model:
-    """A model fitted on at most per_lang labelled rows of each language (fewer of each of many, so that all are at most TRAIN_ROWS), chosen by a hash of their ids; rows without a label, id or text aren't used, nor those of more than TRAIN_CHARS characters."""
+    """A model fitted on at most per_lang labelled rows of each language (fewer of each of many, so that all are at most TRAIN_ROWS), chosen by a hash of their ids; rows without a label, id or text aren't used, nor the longest if all have more than TRAIN_CHARS characters."""
     ids = docs.select(F.col(id_col).alias("row_id"), F.col(lang_col).alias("label")).dropna()
     per_lang = min(per_lang, max(1, TRAIN_ROWS // max(1, ids.select("label").distinct().count())))
     order = Window.partitionBy("label").orderBy(F.xxhash64("row_id"), "row_id")
     chosen = written(ids.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang).select("row_id").distinct())
-    rows = with_ids(docs.select(F.col(id_col).alias("row_id"), F.col(lang_col).alias("label"), F.col(text_col).alias("words")).dropna(), chosen, "row_id", "left_semi").where(F.length("words") <= TRAIN_CHARS).orderBy("row_id", "label", "words").collect()
+    rows = with_ids(docs.select(F.col(id_col).alias("row_id"), F.col(lang_col).alias("label"), F.col(text_col).alias("words")).dropna(), chosen, "row_id", "left_semi")
+    rows = within(rows, "words", TRAIN_CHARS).orderBy("row_id", "label", "words").collect()
     return train_on([r["words"] for r in rows], [r["label"] for r in rows])
 
 

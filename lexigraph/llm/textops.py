@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
@@ -256,6 +256,12 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str,
     return rows, key, lambda found, *columns: back(found, *columns).withColumns({c: F.col(c)["id"] for c in columns})
 
 
+def within(rows: DataFrame, text_col: str, limit: int) -> DataFrame:
+    """The shortest of some rows, whose number is bounded, as long as they have at most limit characters together."""
+    so_far = F.sum(F.length(text_col)).over(Window.orderBy(F.length(text_col), *[c for c in rows.columns]).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("so_far", so_far).where(F.col("so_far") <= limit).drop("so_far")
+
+
 def key_buckets(keys: np.ndarray, n: int) -> np.ndarray:
     """Which of n equal ranges of the 64-bit key space each key lies in."""
     return ((keys >> U64(32)) * U64(n) >> U64(32)).astype(np.int32)

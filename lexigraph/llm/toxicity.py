@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigraph.llm.langid import svm
-from lexigraph.llm.textops import _ALNUM, _LOWER, _WS, U64, Lookup, RollingHash, Texts, ragged, slices, with_ids, written
+from lexigraph.llm.textops import _ALNUM, _LOWER, _WS, U64, Lookup, RollingHash, Texts, ragged, slices, with_ids, within, written
 
 ORDERS, DECAY, LANDMARKS, REVERSE, WINDOW = (3, 4), 0.9, 128, 64, 16
 #: The normalised kernel is raised to this power (a kernel again), so that several faint likenesses don't add up to an insult.
@@ -43,8 +43,8 @@ _BEGIN, _END, WIDTH = 1, 2, WINDOW + 2
 SHARED = 0.75
 #: Neighbouring words of a sentence that are read as one at most; such a word has as many letters as a toxic landmark or up to SLACK more.
 PIECES, SLACK = 4, 3
-#: Labelled documents of each class that are used for training at most; those of more characters aren't.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1000, 2000, 50_000
+#: Labelled documents of each class that are used for training at most, and their characters; the longest are left out.
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1000, 2000, 8_000_000
 CACHE = 2_000_000
 
 _LETTER = np.zeros(256, dtype=np.uint32)
@@ -373,12 +373,13 @@ def train_on(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, re
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", n_toxic: int = TRAIN_TOXIC, n_clean: int = TRAIN_CLEAN) -> Model:
-    """A model from at most n_toxic toxic and n_clean clean labelled documents, chosen by a hash of their ids, without those of more than TRAIN_CHARS characters."""
+    """A model from at most n_toxic toxic and n_clean clean labelled documents, chosen by a hash of their ids, without the longest if all have more than TRAIN_CHARS characters."""
     ids = labels.select(F.col(id_col).alias("row_id"), (F.col(label_col) > 0).alias("toxic")).dropna().groupBy("row_id").agg(F.max("toxic").alias("toxic"))
     # each task keeps its own least hashes, so no class is sorted as a whole
     some = [ids.where(F.col("toxic") == kind).orderBy(F.xxhash64("row_id"), "row_id").limit(n) for kind, n in ((True, n_toxic), (False, n_clean))]
     chosen = written(some[0].unionByName(some[1]))
-    rows = with_ids(docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("words")).dropna(), chosen.select("row_id"), "row_id", "left_semi").where(F.length("words") <= TRAIN_CHARS).orderBy("row_id", "words").collect()
+    rows = with_ids(docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("words")).dropna(), chosen.select("row_id"), "row_id", "left_semi")
+    rows = within(rows, "words", TRAIN_CHARS).orderBy("row_id", "words").collect()
     toxic = {r["row_id"]: r["toxic"] for r in chosen.collect()}
     return train_on([r["words"] for r in rows], np.array([toxic[r["row_id"]] for r in rows]))
 
