@@ -214,12 +214,13 @@ def build_code(tokens: DataFrame, width: str = "<u2", limit: int = LIMIT) -> Cod
 
 
 def encode_rows(tokens: DataFrame, code: Code, width: str = "<u2", block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_tokens, n_bits, payload, checkpoints) for each row of tokens; null ids are as none."""
+    """(doc_id, n_tokens, n_bits, payload, checkpoints, code_lengths) for each row of tokens; null ids are as none. The first row of each task has the code's lengths, so each file that is written has them."""
     shared = tokens.sparkSession.sparkContext.broadcast(code)
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         code = shared.value
+        book = [code.lengths.tobytes()]
         for batch in batches:
             rows = [np.frombuffer(x or b"", dtype=width) for x in batch.column(1).to_pylist()]
             lo = 0
@@ -230,10 +231,10 @@ def encode_rows(tokens: DataFrame, code: Code, width: str = "<u2", block: int =
                     hi += 1
                 count = np.array([len(r) for r in rows[lo:hi]], dtype=np.int64)
                 payloads, bits, marks, many = code.encode(np.concatenate(rows[lo:hi]), count, block)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count), pa.array(bits), pa.array(payloads, pa.binary()), list_array(pa.array(marks), many)], names=["doc_id", "n_tokens", "n_bits", "payload", "checkpoints"])
-                lo = hi
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count), pa.array(bits), pa.array(payloads, pa.binary()), list_array(pa.array(marks), many), pa.array(book + [None] * (hi - lo - len(book)), pa.binary())], names=["doc_id", "n_tokens", "n_bits", "payload", "checkpoints", "code_lengths"])
+                book, lo = [], hi
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_bits long, payload binary, checkpoints array<long>")
+    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_bits long, payload binary, checkpoints array<long>, code_lengths binary")
 
 
 def decode_rows(encoded: DataFrame, code: Code, block: int = BLOCK) -> DataFrame:
@@ -255,23 +256,20 @@ def decode_rows(encoded: DataFrame, code: Code, block: int = BLOCK) -> DataFrame
 def encode_corpus(docs: DataFrame, ranks: str = bpe.RANKS, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """The token ids of each row's text as a Huffman payload, under the code of all rows' ids, and the code itself.
 
-    (doc_id, n_tokens, n_bits, payload, checkpoints, code_lengths).  One row
-    more than docs has: the code book, with a null doc_id and in code_lengths
-    one byte for each id from 0 on (0 where an id isn't used), which is all
-    that `decode_corpus` needs; code_lengths is null in every other row.  A
+    (doc_id, n_tokens, n_bits, payload, checkpoints, code_lengths), a row for
+    each of docs.  The code book, one byte of length for each id from 0 on (0
+    where an id isn't used), stands in code_lengths of the first row that each
+    task writes and is null elsewhere; it is all that `decode_corpus` needs.  A
     null or empty text has no token, no bit and an empty payload.  Texts are
     tokenised once: the ids are written to the shared folder between counting
     and coding.
     """
     width = id_width(ranks)
     tokens = written(token_ids(docs, ranks, id_col, text_col))
-    code = build_code(tokens, width, limit)
-    rows = encode_rows(tokens, code, width).withColumn("code_lengths", F.lit(None).cast("binary"))
-    book = docs.sparkSession.createDataFrame([(None, 0, 0, b"", [], code.lengths.tobytes())], rows.schema)
-    return rows.unionByName(book)
+    return encode_rows(tokens, build_code(tokens, width, limit), width)
 
 
 def decode_corpus(encoded: DataFrame) -> DataFrame:
     """(doc_id, ids) of what encode_corpus returned, from that alone; encoded must be written, as its code book is read first."""
     book = encoded.where(F.col("code_lengths").isNotNull()).first()
-    return decode_rows(encoded.where(F.col("code_lengths").isNull()), Code(np.frombuffer(book["code_lengths"], dtype=np.uint8)))
+    return decode_rows(encoded, Code(np.frombuffer(book["code_lengths"] if book else b"", dtype=np.uint8)))
