@@ -16,8 +16,8 @@ to that depth.
    documents holds comes to one suffix a block.
 3. Buckets.  A suffix's bucket is the least hash among the short word runs of
    its first min_words words, which equal suffixes share and neighbouring ones
-   mostly do; so whole stretches of text go to a bucket, which is sorted like a
-   block, one at a time.
+   mostly do; so whole stretches of text go to a bucket.  Ranges of that hash
+   part a bucket, and a part is sorted like a block, one at a time.
 
 A block or bucket is sorted exactly, by words: words are named in their byte
 order, names are doubled up to v words, and suffixes are sorted by those.  Ties
@@ -41,10 +41,14 @@ from lexigraph.llm.textops import _LOWER, _WS, U64, RollingHash, Texts, Words, b
 #: Perfect difference sets: every residue is a difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
 MIN_WORDS = 50
-#: Cover prefixes that a task gathers before it sends them on, and suffixes of a block.
-FLUSH, BLOCK = 1_000_000, 1 << 18
-#: Bytes of text for each bucket.
-BUCKET_BYTES = 16 << 20
+#: Cover prefixes that a task gathers before it sends them on.
+FLUSH = 1 << 18
+#: Words of a block, which has 16 bytes for each at most; its last piece may go beyond either by as much again.
+BLOCK = 1 << 18
+#: Bytes of text for each bucket, and for each part of one, of which one is sorted at a time.
+BUCKET_BYTES, PART_BYTES = 16 << 20, 1 << 20
+#: Bytes of the slices in which texts are hashed, which takes some fifty times as much.
+SLICE = (1 << 19) - 1024
 #: Words of the runs by which suffixes find their bucket.
 ROUTE = 8
 
@@ -162,18 +166,18 @@ def _least_of(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-_PIECES = "bucket int, docs binary, starts binary, sizes binary, sure binary, text binary"
+_PIECES = "bucket int, part int, docs binary, starts binary, sizes binary, sure binary, text binary"
 
 
-def _block(n: int, pieces: list[tuple[int, int, np.ndarray]], depth: int):
-    """Sorts a block of pieces (document, position of the first word, bytes); a batch of one row for each bucket. From bucket n on rows have repeats that aren't the least of the block, by document."""
+def _block(n: int, pieces: list[tuple[int, int, np.ndarray]], depth: int, parts: int = 1):
+    """Sorts a block of pieces (document, position of the first word, bytes); a batch of one row for each part of a bucket. From bucket n on rows have repeats that aren't the least of the block, by document."""
     doc, start = np.array([x[0] for x in pieces], dtype=np.int64), np.array([x[1] for x in pieces], dtype=np.int64)
     offsets = np.cumsum([0, *(len(x[2]) for x in pieces)])
     words = whitespace_words(Texts(np.concatenate([x[2] for x in pieces]), offsets))
     at, d, p, tied, least = _repeats_of(words, doc, start, None, depth)
     done = tied & ~least
     heads, (docs, places) = split_by(n + key_buckets(mix(d[done].view(U64)), n), d[done], p[done])
-    rows = [(b, x.tobytes(), y.astype(np.int32).tobytes(), None, None, None) for b, x, y in zip(heads, docs, places)]
+    rows = [(b, 0, x.tobytes(), y.astype(np.int32).tobytes(), None, None, None) for b, x, y in zip(heads, docs, places)]
     go = ~done
     at, d, p, tied = at[go], d[go], p[go], tied[go]
     if len(at):
@@ -182,7 +186,7 @@ def _block(n: int, pieces: list[tuple[int, int, np.ndarray]], depth: int):
         grams = np.full(len(words), np.iinfo(U64).max, dtype=U64)
         head = np.arange(len(words) - run + 1)
         grams[: len(head)] = RollingHash(hashes)(head, head + run)
-        bucket = key_buckets(mix(_least_of(grams, depth - run + 1)[at]), n)
+        bucket = key_buckets(mix(_least_of(grams, depth - run + 1)[at]), n * parts)
         text = np.repeat(np.arange(len(doc)), np.diff(words.first))[at]
         cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1]) | (bucket[1:] != bucket[:-1])]))
         last = np.append(cut[1:], len(at)) - 1
@@ -191,16 +195,23 @@ def _block(n: int, pieces: list[tuple[int, int, np.ndarray]], depth: int):
         _, (sure,) = split_by(bucket, tied)
         blob = words.texts.data.tobytes()
         for b, x, y, s, e, marks in zip(heads, docs, starts, los, his, sure):
-            rows.append((b, x.tobytes(), y.astype(np.int32).tobytes(), (e - s).astype(np.int32).tobytes(), marks.tobytes(), b"".join(blob[i:j] for i, j in zip(s.tolist(), e.tolist()))))
-    columns = list(zip(*rows)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "docs", "starts", "sizes", "sure", "text"])
+            rows.append((b // parts, b % parts, x.tobytes(), y.astype(np.int32).tobytes(), (e - s).astype(np.int32).tobytes(), marks.tobytes(), b"".join(blob[i:j] for i, j in zip(s.tolist(), e.tolist()))))
+    columns = list(zip(*rows)) or [()] * 7
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns[:2]), *(pa.array(c, pa.binary()) for c in columns[2:])], names=["bucket", "part", "docs", "starts", "sizes", "sure", "text"])
 
 
 def _bucket(table: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorts a bucket of pieces; (document, position, is least) of the suffixes that repeat."""
-    doc, start = _load(table, ("docs", np.int64), ("starts", np.int32))
+    """Sorts a bucket of pieces, part by part; (document, position, is least) of the suffixes that repeat."""
     if table.column("text")[0].as_py() is None:
+        doc, start = _load(table, ("docs", np.int64), ("starts", np.int32))
         return doc, start, np.zeros(len(doc), dtype=bool)
+    part = table.column("part")
+    found = [_part(table.filter(pa.compute.equal(part, k)), depth) for k in part.unique()]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _part(table: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    doc, start = _load(table, ("docs", np.int64), ("starts", np.int32))
     size, sure = _load(table, ("sizes", np.int32), ("sure", np.bool_))
     data = np.frombuffer(b"".join(table.column("text").to_pylist()), dtype=np.uint8)
     words = whitespace_words(Texts(data, np.append(0, np.cumsum(size, dtype=np.int64))))
@@ -279,7 +290,7 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, min_words: int, n: int)
         parts, size = [], 0
         for batch in batches:
             ids, _ = longs(batch.column(0))
-            for lo, hi, texts in slices(batch.column(1)):
+            for lo, hi, texts in slices(batch.column(1), SLICE):
                 words = whitespace_words(texts)
                 count = np.diff(words.first)
                 local = np.arange(len(words)) - np.repeat(words.first[:-1], count)
@@ -296,16 +307,17 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, min_words: int, n: int)
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, _BUCKETS)
 
 
-def _candidates(docs: DataFrame, id_col: str, text_col: str, min_words: int, n: int) -> DataFrame:
+def _candidates(docs: DataFrame, id_col: str, text_col: str, min_words: int, n: int, parts: int = 1) -> DataFrame:
     """The sorted blocks of the suffixes that the matched cover positions (column ranked) admit."""
     v, _ = cover(min_words, 0.65)
 
     def run(batches):
-        pieces, size = [], 0
+        pieces, size, held = [], 0, 0
+        step = max(1, BLOCK - min_words + 1)
         for batch in batches:
             ids, _ = longs(batch.column(0))
             ranked = [np.frombuffer(x, dtype=np.int32) for x in batch.column(2).to_pylist()]
-            for lo, hi, texts in slices(batch.column(1)):
+            for lo, hi, texts in slices(batch.column(1), SLICE):
                 words = whitespace_words(texts)
                 count, first = np.diff(words.first), words.first[:-1]
                 marks = np.zeros(len(words) + v + 1, dtype=np.int32)
@@ -323,15 +335,15 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, min_words: int, n:
                 plain = np.where(blank, 32, _LOWER[texts.data])[keep].astype(np.uint8)
                 before = np.append(0, np.cumsum(keep))
                 for a, z in zip(heads.tolist(), tails.tolist()):
-                    for b in range(a, z + 1, BLOCK):
-                        e = min(z, b + BLOCK - 1)
-                        pieces.append((int(ids[lo + text[a]]), int(local[b]), plain[before[words.start[b]] : before[words.end[e + min_words - 1]]]))
-                        size += e - b + 1
-                        if size >= BLOCK:
-                            yield _block(n, pieces, min_words)
-                            pieces, size = [], 0
+                    for b in range(a, z + 1, step):
+                        e = min(z, b + step - 1)
+                        pieces.append((int(ids[lo + text[a]]), int(local[b]), plain[before[words.start[b]] : before[words.end[e + min_words - 1]]].copy()))  # a view would hold its whole slice
+                        size, held = size + e - b + min_words, held + len(pieces[-1][2])
+                        if size >= BLOCK or held >= 16 * BLOCK:
+                            yield _block(n, pieces, min_words, parts)
+                            pieces, size, held = [], 0, 0
         if size:
-            yield _block(n, pieces, min_words)
+            yield _block(n, pieces, min_words, parts)
 
     return docs.select(F.col(id_col), F.col(text_col), "ranked").mapInArrow(run, _PIECES)
 
@@ -340,6 +352,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
     """(bucket, owners, places, least): all repeated windows, by buckets of documents; ids of docs must be distinct longs and not null."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(buckets(docs.sparkSession), min(size // BUCKET_BYTES, 1 << 29))
+    parts = max(1, min(size // (n * PART_BYTES), (1 << 30) // n))
 
     def matched(_, table):
         doc, pos = _matched(table)
@@ -356,7 +369,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
     sample = _sample(docs, id_col, text_col, min_words, n).groupBy("bucket").applyInArrow(matched, _OWNERS)
     ranks = written(sample.groupBy("bucket").applyInArrow(ranked, "owner long, ranked binary"))
     candidates = with_ids(docs.select(F.col(id_col).alias("owner"), F.col(text_col).alias("words")), ranks.select("owner"), "owner", "left_semi").join(ranks, "owner")
-    return _candidates(candidates, "owner", "words", min_words, n).groupBy("bucket").applyInArrow(ties, _OWNERS)
+    return _candidates(candidates, "owner", "words", min_words, n, parts).groupBy("bucket").applyInArrow(ties, _OWNERS)
 
 
 def _spans(doc: np.ndarray, pos: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -282,6 +282,48 @@ def test_equal_hashes_make_no_repeat(spark, rng, monkeypatch):
     assert found == {(50, 0), (50, 1), (50, 2), (51, 1), (51, 2), (51, 3)}
 
 
+def test_blocks_are_bounded_whatever_the_stretches(spark, rng, monkeypatch):
+    """A suffix may bring all its words along, so words and bytes are what bounds a block; its pieces hold no more of their texts."""
+    real = suffix_dedup._block
+
+    def bounded(n, pieces, depth, *parts):
+        texts = [bytes(x[2]) for x in pieces]
+        assert all(x[2].base is None for x in pieces)
+        assert sum(len(x.split()) for x in texts) < 2 * 400 and sum(map(len, texts)) <= 16 * 400 + max(map(len, texts))
+        return real(n, pieces, depth, *parts)
+
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 400)
+    monkeypatch.setattr(suffix_dedup, "_block", bounded)
+    shared = [prose(rng, 50) for _ in range(60)] + [" ".join(f"{rng.random()}" * 9 for _ in range(50)) for _ in range(5)] + [prose(rng, 2000)]
+    rows = [(i, t) for i, t in enumerate(shared + shared)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in suffix_dedup.repeated_passages(docs).collect()}
+    assert got == repeats_by_brute_force(rows, 50) and len(got) == 132
+
+
+def test_parts_of_buckets(spark, rng, monkeypatch):
+    """A part is sorted at a time, and what is found is the same however many there are."""
+    pool = [f"w{k}" for k in range(12)]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(80)))) for i in range(60)]
+    rows += [(100 + i, f"x {t} y") for i, t in rows[::3]]
+    pieces = [(i, 0, np.frombuffer(t.encode(), dtype=np.uint8)) for i, t in rows if len(t.split()) >= 3]
+    sizes, real = [], suffix_dedup._part
+    monkeypatch.setattr(suffix_dedup, "_part", lambda table, depth: sizes.append(len(table)) or real(table, depth))
+    found = {}
+    for parts in (1, 7):
+        batch = pa.Table.from_batches([suffix_dedup._block(2, pieces[i::4], 3, parts) for i in range(4)])
+        found[parts] = set()
+        for b in set(batch["bucket"].to_pylist()):
+            for d, p, least in zip(*suffix_dedup._bucket(batch.filter(pa.compute.equal(batch["bucket"], b)), 3)):
+                found[parts].add((int(d), int(p), bool(least)))
+    assert found[1] == found[7] and found[1] and len(sizes) > 10 and max(sizes) <= 4
+    monkeypatch.setattr(suffix_dedup, "_part", real)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 50)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in suffix_dedup.repeated_passages(docs, min_words=12).collect()}
+    assert got == repeats_by_brute_force(rows, 12) and got
+
+
 def cut_by_brute_force(rows, n):
     """Texts after cutting each window that isn't the least of its words, but for the words of windows that are."""
     where, words = defaultdict(list), {i: t.split() for i, t in rows}
