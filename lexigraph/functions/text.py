@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ ROOT_CATEGORY = r"^(.+) terms derived from the (.+) root \*([^ ]+)(?: \((.+)\))?
 RECONSTRUCTION = r"(?s)^Reconstruction:([^/]*)/(.*)$"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value evaluated once; within lambdas Spark evaluates an expression anew wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def valid(c: Column) -> Column:
     """A string that is neither empty nor a lone hyphen, else null."""
     return F.nullif(F.nullif(c, F.lit("")), F.lit("-"))
@@ -20,18 +27,17 @@ def clean_term(c: Column) -> Column:
 
 
 def valid_term(c: Column) -> Column:
-    return valid(clean_term(valid(c)))
+    return let(c, lambda x: let(clean_term(valid(x)), valid))
 
 
 def affix_term(c: Column, kind: str) -> Column:
     """The valid term with the hyphens that its kind of affix needs: prefix, suffix, infix or base."""
+    front = lambda t: F.when(t.startswith("-"), t).otherwise(F.concat(F.lit("-"), t))
+    back = lambda t: F.when(t.endswith("-"), t).otherwise(F.concat(t, F.lit("-")))
     t = valid_term(c)
-    front, back = kind in ("suffix", "infix"), kind in ("prefix", "infix")
-    if front:
-        t = F.when(t.startswith("-"), t).otherwise(F.concat(F.lit("-"), t))
-    if back:
-        t = F.when(t.endswith("-"), t).otherwise(F.concat(t, F.lit("-")))
-    return t
+    if kind in ("suffix", "infix"):
+        t = let(t, front)
+    return let(t, back) if kind in ("prefix", "infix") else t
 
 
 def affix_class(term: Column) -> Column:

@@ -2,7 +2,8 @@
 
 A claim is a mode, the place of its head term, and terms of some languages.
 Whether a language code is known is a broadcast join on the exploded terms; one
-shuffle by line puts the claims together again.
+shuffle by line puts the claims together again.  What an expression mentions
+more than once is bound with `let`, or stands in a projection of its own.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigraph.functions.modes import ALIASES, DESCENDANT_KEYS, kind_of, mode_of
-from lexigraph.functions.text import affix_class, affix_mode, affix_term, first_of_list, root_category, sense_id, valid, valid_term
+from lexigraph.functions.text import affix_class, affix_mode, affix_term, first_of_list, let, root_category, sense_id, valid, valid_term
 from lexigraph.sources.dump import field, strict_byte, strict_string
 from lexigraph.sources.langs import Langs, with_lang
 
@@ -26,11 +27,11 @@ def templates(v: str | Column) -> Column:
 
 
 def _plain(raw: Column) -> Column:
-    return F.transform(raw, lambda t: F.struct(valid(strict_string(t["name"])).alias("name"), F.transform_values(t["args"], lambda _, x: strict_string(x)).alias("args")))
+    return F.transform(raw, lambda t: F.struct(let(strict_string(t["name"]), valid).alias("name"), F.transform_values(t["args"], lambda _, x: strict_string(x)).alias("args")))
 
 
 def arg(args: Column, key: str | Column) -> Column:
-    return valid(F.try_element_at(args, F.lit(key) if isinstance(key, str) else key))
+    return let(F.try_element_at(args, F.lit(key) if isinstance(key, str) else key), valid)
 
 
 def term(args: Column, key: str | Column) -> Column:
@@ -46,38 +47,39 @@ def claim(mode: Column | str, head: Column | int | None, *terms: tuple[Column, C
     mode = F.lit(mode) if isinstance(mode, str) else mode
     head = head if isinstance(head, Column) else F.lit(head)
     parts = F.array(*[F.struct(c.alias("code"), t.alias("term")) for c, t in terms]).cast(_TERMS)
-    there = F.lit(True)
-    for c, t in terms:
-        there &= c.isNotNull() & t.isNotNull()
-    return F.when(there, F.struct(mode.alias("mode"), head.cast("int").alias("head"), parts.alias("terms")).cast(_PARSED))
+    there = lambda p: F.forall(p, lambda x: x["code"].isNotNull() & x["term"].isNotNull())
+    return let(parts, lambda p: F.when(there(p), F.struct(mode.alias("mode"), head.cast("int").alias("head"), p.alias("terms")).cast(_PARSED)))
 
 
 def leading(values: Column) -> Column:
     """The elements before the first null."""
-    gap = F.array_position(F.transform(values, lambda x: x.isNull()), F.lit(True)).cast("int")
-    return F.when(gap == 0, values).otherwise(F.slice(values, 1, F.greatest(gap - 1, F.lit(0))))
+    gap = lambda x: F.array_position(F.transform(x, lambda y: y.isNull()), F.lit(True)).cast("int")
+    return let(values, lambda x: let(gap(x), lambda g: F.when(g == 0, x).otherwise(F.slice(x, 1, F.greatest(g - 1, F.lit(0))))))
 
 
 def compound(mode: Column, args: Column, code: Column) -> Column:
     """A compound's terms, arguments 2, 3 and so on up to the first invalid one; its head is the only term that isn't an affix."""
     numbers = F.sequence(F.lit(2), F.size(F.map_keys(args)) + 2)
-    found = leading(F.transform(numbers, lambda n: term(args, n.cast("string"))))
-    parts = F.transform(found, lambda t, k: F.struct(F.coalesce(arg(args, F.concat(F.lit("lang"), (k + 2).cast("string"))), code).alias("code"), t.alias("term"))).cast(_TERMS)
-    classes = F.transform(found, affix_class)
-    base = F.transform(classes, lambda c: c == "base")
-    head = F.when(F.size(F.filter(base, lambda x: x)) == 1, F.array_position(base, F.lit(True)).cast("int") - 1)
-    refined = F.when(mode == "affix", affix_mode(classes)).otherwise(mode)
-    return F.when(F.size(found) > 0, F.struct(refined.alias("mode"), head.alias("head"), parts.alias("terms")).cast(_PARSED))
+    parts = lambda found: F.transform(found, lambda t, k: F.struct(F.coalesce(arg(args, F.concat(F.lit("lang"), (k + 2).cast("string"))), code).alias("code"), t.alias("term"))).cast(_TERMS)
+    head = lambda base: F.when(F.size(F.filter(base, lambda x: x)) == 1, F.array_position(base, F.lit(True)).cast("int") - 1)
+    refined = lambda classes: F.when(mode == "affix", affix_mode(classes)).otherwise(mode)
+    whole = lambda found: let(F.transform(found, affix_class), lambda classes: F.struct(refined(classes).alias("mode"), let(F.transform(classes, lambda c: c == "base"), head).alias("head"), parts(found).alias("terms")).cast(_PARSED))
+    return let(leading(F.transform(numbers, lambda n: term(args, n.cast("string")))), lambda found: F.when(F.size(found) > 0, whole(found)))
 
 
 def etymology_claim(name: Column, args: Column, code: Column) -> Column:
     """What one etymology template of an item in the language `code` claims; null if it isn't understood."""
-    mode = mode_of(name)
-    kind = kind_of(mode)
+    return let(mode_of(name), lambda mode: let(kind_of(mode), lambda kind: _claim_of(mode, kind, args, code)))
+
+
+def _claim_of(mode: Column, kind: Column, args: Column, code: Column) -> Column:
     prefix, suffix = _affix(args, "2", "prefix"), _affix(args, "4", "suffix")
-    confix = F.when(
-        suffix.isNotNull(), claim("confix", 1, (code, prefix), (code, term(args, "3")), (code, suffix))
-    ).otherwise(claim("confix", None, (code, prefix), (code, F.concat(F.lit("-"), term(args, "3")))))
+    confix = let(
+        suffix,
+        lambda last: F.when(last.isNotNull(), claim("confix", 1, (code, prefix), (code, term(args, "3")), (code, last))).otherwise(
+            claim("confix", None, (code, prefix), (code, F.concat(F.lit("-"), term(args, "3"))))
+        ),
+    )
     own = (
         F.when(kind == "derived", claim(mode, 0, (first_of_list(arg(args, "2")), term(args, "3"))))
         .when(kind == "abbreviation", claim(mode, 0, (code, term(args, "2"))))
@@ -93,9 +95,8 @@ def etymology_claim(name: Column, args: Column, code: Column) -> Column:
 
 def single_mention(found: Column) -> Column:
     """The claim of a record whose only template, roots aside, is a mention."""
-    others = F.filter(found, lambda t: F.coalesce(t["name"] != "root", F.lit(False)))
-    only = F.get(others, 0)
-    return F.when((F.size(others) == 1) & only["name"].isin("mention", "m"), claim("mention", 0, (arg(only["args"], "1"), term(only["args"], "2"))))
+    read = lambda only: F.when(only["name"].isin("mention", "m"), claim("mention", 0, (arg(only["args"], "1"), term(only["args"], "2"))))
+    return let(F.filter(found, lambda t: F.coalesce(t["name"] != "root", F.lit(False))), lambda others: F.when(F.size(others) == 1, let(F.get(others, 0), read)))
 
 
 def form_claim(v: str | Column, code: Column) -> Column:
@@ -111,8 +112,8 @@ def etymologies(items: DataFrame, langs: Langs) -> DataFrame:
     A single mention comes first, then all templates (those not understood are
     not ok), and only without any template the form that the first sense names.
     """
-    found = templates("v")
-    base = items.select("item_id", "code", found.alias("found"), single_mention(found).alias("mention"), form_claim("v", F.col("code")).alias("form"))
+    base = items.select("item_id", "code", templates("v").alias("found"), form_claim("v", F.col("code")).alias("form"))
+    base = base.select("item_id", "code", "found", single_mention(F.col("found")).alias("mention"), "form")
     known = F.broadcast(langs.codes.select(F.col("code").alias("_code")))
     # a mention of an unknown language doesn't count
     base = base.join(known, F.get("mention.terms", 0)["code"] == F.col("_code"), "left")
@@ -128,9 +129,9 @@ def etymologies(items: DataFrame, langs: Langs) -> DataFrame:
 
 def descendant_mode(args: Column, n: Column) -> Column:
     """The mode of the n-th term of a descendant template: by the first mode key it has, whatever the value."""
-    mode = F.lit("inherited")
+    mode, number = F.lit("inherited"), n.cast("string")
     for key in reversed(DESCENDANT_KEYS):
-        there = F.coalesce(F.map_contains_key(args, key) | F.map_contains_key(args, F.concat(F.lit(key), n.cast("string"))), F.lit(False))
+        there = F.coalesce(F.map_contains_key(args, key) | F.map_contains_key(args, F.concat(F.lit(key), number)), F.lit(False))
         mode = F.when(there, F.lit(ALIASES[key])).otherwise(mode)
     return mode
 
@@ -141,12 +142,12 @@ def descendant_template(name: Column, args: Column, derived: Column) -> Column:
     numbers = F.sequence(F.lit(1), F.size(F.map_keys(args)) + 1)
     named = lambda n: F.coalesce(term(args, (n + 1).cast("string")), term(args, F.when(n == 1, "alt").otherwise(F.concat(F.lit("alt"), n.cast("string")))))
     many = F.transform(leading(F.transform(numbers, named)), lambda t, k: F.struct(t.alias("term"), descendant_mode(args, k + 1).alias("mode")))
-    one = lambda t, mode: F.when(t.isNotNull(), F.array(F.struct(t.alias("term"), mode.alias("mode"))))
+    one = lambda value, mode: let(value, lambda t: F.when(t.isNotNull(), F.array(F.struct(t.alias("term"), mode.alias("mode")))))
     link = one(F.coalesce(term(args, "2"), term(args, "3")), F.when(derived, "morphological derivation").otherwise("derived"))
     tree = one(term(args, "2"), descendant_mode(args, F.lit(1)))
     terms = F.when(name.isin("desc", "descendant"), many).when(name.isin("l", "link"), link).when(name.isin("desctree", "descendants tree"), tree)
-    code = arg(args, "1")
-    return F.when(code.isNotNull() & terms.isNotNull(), F.struct(code.alias("code"), terms.alias("terms")).cast(shape))
+    whole = F.struct(arg(args, "1").alias("code"), terms.alias("terms")).cast(shape)
+    return let(whole, lambda x: F.when(x["code"].isNotNull() & x["terms"].isNotNull(), x))
 
 
 def descendant_lines(v: str | Column) -> Column:
@@ -156,12 +157,13 @@ def descendant_lines(v: str | Column) -> Column:
         raw,
         lambda x: F.struct(
             strict_byte(x["depth"]).alias("depth"),
-            valid(strict_string(x["text"])).alias("text"),
+            let(strict_string(x["text"]), valid).alias("text"),
             F.coalesce(F.exists(x["tags"], lambda t: F.coalesce(strict_string(t) == "derived", F.lit(False))), F.lit(False)).alias("derived"),
             _plain(x["templates"]).alias("templates"),
         ),
     )
-    return F.when(F.forall(lines, lambda x: x["depth"].isNotNull() & x["templates"].isNotNull()) & (F.size(lines) > 0), lines)
+    whole = lambda y: F.forall(y, lambda x: x["depth"].isNotNull() & x["templates"].isNotNull()) & (F.size(y) > 0)
+    return let(lines, lambda y: F.when(whole(y), y))
 
 
 def descendants(items: DataFrame, langs: Langs) -> DataFrame:
@@ -197,12 +199,16 @@ def roots(items: DataFrame, langs: Langs) -> DataFrame:
     The first root template decides, even if it can't be read; only without one
     does the first category that names a root of the item's language.
     """
-    found = F.get(F.filter(templates("v"), lambda t: F.coalesce(t["name"].isin("root", "word", "PIE word"), F.lit(False)) & t["args"].isNotNull()), 0)
+    first_root = F.get(F.filter(templates("v"), lambda t: F.coalesce(t["name"].isin("root", "word", "PIE word"), F.lit(False)) & t["args"].isNotNull()), 0)
+    # behind a generator, through which no filter is pushed: it would parse the record again for each mention
+    once = F.explode(F.array(F.struct(first_root.alias("found"), field("v", "categories", "array<variant>").alias("categories")))).alias("x")
+    items = items.select("item_id", "code", "lang_id", once).select("item_id", "code", "lang_id", "x.*")
+    found = F.col("found")
     args, name = found["args"], found["name"]
     own = arg(args, "1") == F.col("code")
     usual = F.when(own & term(args, "4").isNull() & term(args, "3").isNotNull(), F.struct(F.when(name == "word", F.concat(arg(args, "2"), F.lit("-pro"))).otherwise(arg(args, "2")).alias("code"), term(args, "3").alias("term"), sense_id(arg(args, "3"), F.try_element_at(args, F.lit("id"))).alias("sense")))
     word = F.when(own & term(args, "2").isNotNull(), F.struct(F.lit("ine-pro").alias("code"), term(args, "2").alias("term"), F.lit(None).cast("string").alias("sense")))
-    base = items.select("item_id", F.col("lang_id").alias("item_lang"), found.isNotNull().alias("decided"), F.when(name == "PIE word", word).otherwise(usual).alias("r"), field("v", "categories", "array<variant>").alias("categories"))
+    base = items.select("item_id", F.col("lang_id").alias("item_lang"), found.isNotNull().alias("decided"), F.when(name == "PIE word", word).otherwise(usual).alias("r"), "categories")
     templated = with_lang(base.where("decided and r is not null").select("item_id", "r.code", "r.term", "r.sense"), langs, "code", "").where("lang_id is not null").select("item_id", "lang_id", "term", "sense")
     named = base.where("not decided").select("item_id", "item_lang", F.posexplode(F.transform("categories", strict_string)).alias("nth", "c")).withColumn("r", root_category(F.col("c"))).where("r is not null")
     name_of = lambda prefix: F.broadcast(langs.names.select(F.col("name").alias(f"{prefix}_name"), F.col("lang_id").alias(f"{prefix}_id")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexigraph.operators import claims
 from lexigraph.plans.queries import ORACLES, QUERIES, langs_of, table
+from lexigraph.runtime import spread
 from lexigraph.sources.langs import Langs
 
 _PARTS = "p AS (SELECT p_partkey AS item_id, p_size AS s, p_name AS n, p_type AS t, p_size % 6 AS l, (p_size + 1) % 6 AS m FROM part)"
@@ -34,6 +35,7 @@ def template(name: str, **args: str) -> str:
 
 def _items(spark: SparkSession, d: str, record: str) -> DataFrame:
     rows = table(spark, d, "part").selectExpr("p_partkey AS item_id", "p_size AS s", "p_name AS n", "p_type AS t", "p_size % 6 AS l", "(p_size + 1) % 6 AS m")
+    rows = spread(rows, "item_id")
     return rows.selectExpr("item_id", "'l' || l AS code", "cast(l AS int) AS lang_id", f"parse_json(to_json({record})) AS v")
 
 
