@@ -62,10 +62,10 @@ def build(spark: SparkSession, dump: str, langs: Langs, cache_path: str | None =
     shown = materialize(link.with_vectors(found, vectors))
 
     edges = spark.createDataFrame([], _EDGES)
-    for links in (link.descendant_links(items, desc, shown, vectors, langs), link.etymology_links(items, ety, shown, vectors, langs)):
+    for links in (link.descendant_links(items, desc, shown, vectors, langs), link.etymology_links(items, ety, found, vectors, langs)):
         items, new = link.impute(items, links)
         edges = materialize(graph.remove_cycles(link.add_claims(edges, new)))
-    items, new = link.impute(items, link.root_links(items, root, shown, vectors, langs))
+    items, new = link.impute(items, link.root_links(items, root, found, vectors, langs))
     edges = materialize(graph.remove_cycles(add_roots(edges, items, new, vectors, langs)))
     items = materialize(items)
     return Snapshot(materialize(langs.langs), items, edges, materialize(graph.progenitors(edges)), graph.descendant_langs(edges, items))
