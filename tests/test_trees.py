@@ -19,6 +19,34 @@ def made(spark, seed, n=60, second=0.2):
     return spark.createDataFrame(rows, EDGES), items, rows
 
 
+def test_places_equal_brute_force(spark):
+    """Of all trees, laid out and measured node by node; the same from one tree and its edges."""
+    edges, items, rows = made(spark, 3, n=40)
+    term = {r["item_id"]: r["term"] for r in items.collect()}
+    down = {}
+    for a, b, o, *_ in rows:
+        down.setdefault(b, []).append((a, o))
+
+    def lay(root, path, item, place=1):
+        kids = [(lay_size(a), a, o) for a, o in down.get(item, [])]
+        kids.sort(key=lambda k: (k[0][2], k[0][0], k[0][1], [-ord(c) for c in term[k[1]]], f"{k[1]}:{k[2]}"))
+        height, leaves, _ = lay_size(item)
+        yield root, "/".join(path), item, height, leaves, place
+        for nth, (_, a, o) in enumerate(kids, 1):
+            yield from lay(root, [*path, f"{a}:{o}"], a, nth)
+
+    def lay_size(item):
+        kids = [lay_size(a) for a, _ in down.get(item, [])]
+        return max((k[0] + 1 for k in kids), default=0), sum(k[1] for k in kids) or 1, item == 20 or any(k[2] for k in kids)
+
+    want = sorted(x for k in range(40) for x in lay(k, [str(k)], k))
+    starts = items.select(F.col("item_id").alias("id"))
+    shown = lambda df: sorted(map(tuple, df.select("root", F.concat_ws("/", "path"), "item_id", "height", "leaves", "place").collect()))
+    assert shown(trees.sorted_descendants_tree(edges, starts, items, 20)) == want
+    one = starts.where("id = 2")
+    assert shown(trees.sort_descendants(trees.descendants_tree(edges, one), items, 20, edges)) == [w for w in want if w[0] == 2]
+
+
 def test_rounds_send_no_graph_through_the_driver(spark, monkeypatch):
     """A step is joined by shuffling, whatever its size; only few rows of a round are broadcast."""
     plans = []
