@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexigraph.operators import graph, trees
@@ -19,6 +20,22 @@ def made(spark, seed, n=60, second=0.2):
     return spark.createDataFrame(rows, EDGES), items, rows
 
 
+@pytest.mark.parametrize("seed, second", [(1, 0.1), (2, 0.3)])
+def test_sizes_of_cognates_equal_the_laid_out_forests(spark, seed, second):
+    edges, items, _ = made(spark, seed, second=second)
+    none = spark.createDataFrame([], "id long")
+    admissible = trees.admissible_edges(edges, items, graph.descendant_langs(edges, items), [1, 3], none)
+    starts = items.select(F.col("item_id").alias("id"))
+    opened = graph.ancestors_in_langs(edges, items, starts, [1, 3])
+    laid = trees.cognates_tree(edges, admissible, starts, opened).groupBy("of").agg(F.count("*").alias("n_nodes"), F.countDistinct("item_id").alias("n_items"), F.max("depth").alias("depth"))
+    sizes = trees.cognates_sizes(edges, admissible, starts, items.where("lang_id in (1, 3)").select(F.col("item_id").alias("id")))
+    want = sorted(map(tuple, laid.select("of", "n_nodes", "n_items", "depth").collect()))
+    assert sorted(map(tuple, sizes.select("of", "n_nodes", "n_items", "depth").collect())) == want and len(want) > 10
+    some = starts.where("id % 3 = 0")
+    got = trees.cognates_sizes(edges, admissible, some, items.where("lang_id in (1, 3)").select(F.col("item_id").alias("id"))).select("of", "n_nodes", "n_items", "depth").collect()
+    assert sorted(map(tuple, got)) == [w for w in want if w[0] % 3 == 0]
+
+
 def test_places_equal_brute_force(spark):
     """Of all trees, laid out and measured node by node; the same from one tree and its edges."""
     edges, items, rows = made(spark, 3, n=40)
